@@ -6,7 +6,9 @@ import importlib
 
 #: number, module, function, name of the SQL constant or None
 OPERATORS = [
+    (2, "media", "op2_media_columns", None),
     (4, "exact_dedup", "op4_exact_dedup", "OP4_SQL"),
+    (5, "packing", "op5_best_fit_packing", None),
 ]
 
 
