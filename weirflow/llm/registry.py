@@ -7,8 +7,10 @@ import importlib
 #: number, module, function, name of the SQL constant or None
 OPERATORS = [
     (2, "media", "op2_media_columns", None),
+    (3, "licenses", "op3_license_scan", "OP3_SQL"),
     (4, "exact_dedup", "op4_exact_dedup", "OP4_SQL"),
     (5, "packing", "op5_best_fit_packing", None),
+    (7, "sentencepiece_codec", "op7_sentencepiece", None),
 ]
 
 
