@@ -6,6 +6,7 @@ import importlib
 
 #: number, module, function, name of the SQL constant or None
 OPERATORS = [
+    (1, "pii", "op1_pii", None),
     (2, "media", "op2_media_columns", None),
     (3, "licenses", "op3_license_scan", "OP3_SQL"),
     (4, "exact_dedup", "op4_exact_dedup", "OP4_SQL"),
