@@ -11,6 +11,7 @@ OPERATORS = [
     (3, "licenses", "op3_license_scan", "OP3_SQL"),
     (4, "exact_dedup", "op4_exact_dedup", "OP4_SQL"),
     (5, "packing", "op5_best_fit_packing", None),
+    (6, "quality", "op6_quality_classifier", None),
     (7, "sentencepiece_codec", "op7_sentencepiece", None),
     (8, "language_id", "op8_language_id", None),
     (9, "line_dedup", "op9_line_dedup", "OP9_SQL"),
