@@ -15,6 +15,7 @@ OPERATORS = [
     (7, "sentencepiece_codec", "op7_sentencepiece", None),
     (8, "language_id", "op8_language_id", None),
     (9, "line_dedup", "op9_line_dedup", "OP9_SQL"),
+    (10, "ngram_join", "op10_ngram_jaccard_join", None),
 ]
 
 
