@@ -1 +1 @@
-"""See the package README."""
+"""The registered queries of the verbs, each with its SQL."""
