@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from weirflow.functions import json as J
 from weirflow.functions import text as T
 from weirflow.operators import aggregate as A
+from weirflow.operators import fuzzy as Z
+from weirflow.operators import html as H
 from weirflow.operators import order as O
 from weirflow.operators import rows as R
+from weirflow.sources import lines as L
+from weirflow.streaming import live as S
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -193,3 +197,29 @@ _add(
     f"WITH n AS (SELECT event_id, value, row_number() {_W}) AS n FROM events), "
     "x AS (SELECT a.event_id, sum(b.value * CASE WHEN b.n = 1 THEN power(0.5, a.n - 1) ELSE power(0.5, a.n - b.n + 1) END) AS s FROM n a JOIN n b ON b.n <= a.n AND (b.n > a.n - 60) GROUP BY 1) SELECT event_id, round(s, 4) AS ewma FROM x",
 )
+
+# ---------------------------------------------------------------- formats, HTML, fuzzy search, streams
+
+
+def _logfmt_line() -> Column:
+    return F.concat(F.lit("id="), C("o_orderkey").cast("string"), F.lit(' status="'), C("o_orderstatus"), F.lit(' x" prio='), C("o_orderpriority"))
+
+
+_map("logfmt_field", "orders", "o_orderkey", lambda: L.logfmt(_logfmt_line(), "status"), "o_orderstatus || ' x'")
+_map("csv_field", "customer", "c_custkey", lambda: F.from_csv(F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), C("c_name"), F.lit(', x"')), "c_mktsegment"), "a STRING, b STRING, c STRING").getField("b"), "c_name || ', x'")
+_add("toml_documents", "nation", lambda df: L.toml(df.select("n_nationkey", F.concat(F.lit("[n]\nname = '"), C("n_name"), F.lit("'\nkey = "), C("n_nationkey").cast("string")).alias("value"))), "SELECT n_nationkey, CAST(0 AS INTEGER) AS sub, '{\"n\":{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}}' AS value FROM nation")
+_add("html_links", "pages", lambda df: H.select(df, "page_id", "html", "nav a", attribute="href"), "SELECT page_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS sub, unnest(x) AS value FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1) AS x FROM pages)")
+_add("html_titles", "pages", lambda df: H.select(df, "page_id", "html", "head > title"), None)
+_add("html_paragraphs", "pages", lambda df: A.tally(H.select(df, "page_id", "html", "article p", own=True).select(F.length("value").cast("bigint").alias("n")), "n"), None)
+_add("fuzzy_search", "part", lambda df: Z.search(df.select("p_partkey", "p_name"), "p_name", "gr an | 'blu !red", ["p_partkey"]), None)
+_add("fuzzy_exact", "part", lambda df: Z.search(df.select("p_partkey", "p_name"), "p_name", "!red !blue", ["p_partkey"]).select("p_partkey"), "SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'red') AND NOT contains(lower(p_name), 'blue')")
+_map("via_pure", "events", "event_id", lambda: C("value") * C("value"), "value * value")
+QUERIES["stream_filter"] = (
+    lambda spark, sf_dir: S.run_append(S.table_stream(spark, sf_dir, "events"), lambda df: df.filter(C("event_type") == "error").select("event_id", J.at("props", "k").alias("k"))),
+    "SELECT event_id, props->>'k' AS k FROM events WHERE event_type = 'error'",
+)
+QUERIES["stream_tally"] = (lambda spark, sf_dir: S.tally(S.table_stream(spark, sf_dir, "events"), "event_type"), "SELECT event_type AS key, count(*) AS count FROM events GROUP BY 1")
+QUERIES["stream_windows"] = (
+    lambda spark, sf_dir: S.windowed_counts(S.table_stream(spark, sf_dir, "events"), "ts", "1 day", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "key", "count"),
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS key, count(*) AS count FROM events GROUP BY 1, 2",
+)

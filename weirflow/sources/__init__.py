@@ -1 +1 @@
-"""See the package README."""
+"""Readers of ordered lines and of formats that lines carry."""

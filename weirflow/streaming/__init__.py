@@ -1 +1 @@
-"""See the package README."""
+"""The same verbs on Structured Streaming."""
