@@ -1,4 +1,4 @@
-"""Streams: stateless verbs append, groupings are kept up to date, windows close by watermark.
+"""Streams: stateless verbs append, groupings are kept up to date, windows may close by watermark.
 
 A function from table to table made of filters and projections runs on a stream as it is (``run_append``). Sinks write
 Parquet under a checkpoint, so a restarted query goes on where it stopped and each row is written once.
@@ -56,15 +56,26 @@ def run_latest(stream: DataFrame, verbs: Callable[[DataFrame], DataFrame]) -> Da
     return spark.read.schema(out.schema).parquet(f"{where}/batch-{batches[-1]}")
 
 
+def closed_windows(stream: DataFrame, time: str, width: str, key: str, late: str = "1 hour") -> DataFrame:
+    """(start, key, count) of windows that closed ``late`` behind the latest time; later rows are left out and state is bounded."""
+
+    def verbs(df: DataFrame) -> DataFrame:
+        timed = df.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late)
+        counted = timed.groupBy(F.window("_time", width), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+        return counted.select(F.col("window.start").alias("start"), "key", "count")
+
+    return run_append(stream, verbs)
+
+
 def tally(stream: DataFrame, column: str) -> DataFrame:
     return run_latest(stream, lambda df: df.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("count")))
 
 
-def windowed_counts(stream: DataFrame, time: str, width: str, key: str, late: str = "1 hour") -> DataFrame:
-    """(start, key, count) of tumbling windows; rows later than ``late`` behind the latest time are left out of closed windows."""
+def windowed_counts(stream: DataFrame, time: str, width: str, key: str) -> DataFrame:
+    """(start, key, count) of tumbling windows; all windows stay open, so late rows count and the result is that of a batch."""
 
     def verbs(df: DataFrame) -> DataFrame:
-        timed = df.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late)
+        timed = df.withColumn("_time", F.col(time).cast("timestamp"))
         counted = timed.groupBy(F.window("_time", width), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("count"))
         return counted.select(F.col("window.start").alias("start"), "key", "count")
 
