@@ -89,7 +89,7 @@ def page_evidence(page: str, url_suffix: str, languages: list[str], table: np.nd
     total = np.zeros(k)
     found = trigram_buckets(html.unescape(_HIDDEN.sub(" ", page)))
     by_text = None
-    if len(found):
+    if len(found) and k:
         score = table[:, found].sum(axis=1) * min(1.0, EFFECTIVE / len(found))
         by_text = languages[int(score.argmax())]
         total += score

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.common import read_table
 
-THRESHOLD = 0.8
+#: Numerator and denominator, so that all bounds are exact.
+THRESHOLD = (4, 5)
 
 # Licence texts.
 TEMPLATES = {
@@ -85,27 +86,27 @@ def bigrams(words: list[str]) -> set[tuple[str, str]]:
 class Scanner:
     """Templates by size, and their first words as a quick test that is exact: a shared bigram has one."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
-        self.threshold = threshold
+    def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD):
+        self.top, self.bottom = threshold
         self.templates = sorted(((len(b), name, b) for name, text in templates.items() if (b := bigrams(normalise(text)))), key=lambda x: x[:2])
-        self.least = min((n for n, _, _ in self.templates), default=1) * threshold / (2 - threshold)
+        self.least = min((n for n, _, _ in self.templates), default=1) * self.top / (2 * self.bottom - self.top)
         self.pairs = frozenset().union(*[b for _, _, b in self.templates])
         words = sorted({first for first, _ in self.pairs})
         self.any = re.compile(r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(words) + r")[^0-9A-Za-z]", re.ASCII).search if words else lambda _: None
 
     def matches(self, unit: list[str]) -> list[tuple[str, int, int, int]]:
         """(template, shared, size of the unit's set, size of the template's set) of every match."""
-        if len(unit) - 1 < self.least:
+        if len(unit) - 1 < self.least - 1e-9:
             return []
         found = bigrams(unit)
-        n, t = len(found), self.threshold
+        n, t, rest = len(found), self.top, 2 * self.bottom - self.top
         if found.isdisjoint(self.pairs):
             return []
         out = []
         for size, name, template in self.templates:
-            if size * t <= (2 - t) * n and n * t <= (2 - t) * size:
+            if size * t <= rest * n and n * t <= rest * size:
                 shared = len(found & template)
-                if 2 * shared >= t * (n + size):
+                if 2 * self.bottom * shared >= t * (n + size):
                     out.append((name, shared, n, size))
         return out
 
@@ -134,7 +135,7 @@ class Scanner:
 COLUMNS = ["doc_id", "unit", "first_line", "n_lines", "license", "shared", "unit_bigrams", "license_bigrams", "dice"]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every unit of every text and template that match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +185,8 @@ sets AS (
   SELECT doc_id, unit, first_line, n_lines, {_PAIRS} AS b FROM (SELECT *, {_FIND.format('body')} AS w FROM units)),
 pairs AS (
   SELECT doc_id, unit, first_line, n_lines, license, len(list_intersect(s.b, t.b)) AS shared, len(s.b) AS unit_bigrams, len(t.b) AS license_bigrams
-  FROM sets s JOIN templates t ON len(t.b) * {THRESHOLD} <= (2 - {THRESHOLD}) * len(s.b) AND len(s.b) * {THRESHOLD} <= (2 - {THRESHOLD}) * len(t.b))
+  FROM sets s JOIN templates t ON len(t.b) * {THRESHOLD[0]} <= {2 * THRESHOLD[1] - THRESHOLD[0]} * len(s.b) AND len(s.b) * {THRESHOLD[0]} <= {2 * THRESHOLD[1] - THRESHOLD[0]} * len(t.b))
 SELECT doc_id, unit, CAST(first_line AS BIGINT) AS first_line, CAST(n_lines AS BIGINT) AS n_lines, license, CAST(shared AS BIGINT) AS shared,
        CAST(unit_bigrams AS BIGINT) AS unit_bigrams, CAST(license_bigrams AS BIGINT) AS license_bigrams, 2.0::DOUBLE * shared / (unit_bigrams + license_bigrams) AS dice
-FROM pairs WHERE 2 * shared >= {THRESHOLD} * (unit_bigrams + license_bigrams)
+FROM pairs WHERE {2 * THRESHOLD[1]} * shared >= {THRESHOLD[0]} * (unit_bigrams + license_bigrams)
 """
