@@ -80,6 +80,21 @@ def test_json_edits(spark):
     assert values(spark, ["[1,2]", '{"a":1}', '"abc"', "-3", "null", "true", "xy"], J.json_length("v")) == [2.0, 1.0, 3.0, 3.0, 0.0, 4.0, 2.0]
 
 
+def test_number_text(spark):
+    shown = {1e15: "1000000000000000", 1e16: "1e+16", 1.5e16: "15000000000000000", 0.00001: "1e-05", 0.0001: "0.0001", 1e-300: "1e-300", 1.5: "1.5", -2.0: "-2", 0.1 + 0.2: "0.30000000000000004"}
+    shown |= {123456.789: "123456.789", 1e300: "1e+300", -0.0: "0", float("inf"): "1.7976931348623157e+308", 100.0: "100", 12345678.5: "12345678.5", 1.25e-7: "1.25e-07", -0.0625: "-0.0625"}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*shown, float("nan"), None])], "i int, x double")
+    assert [r[0] for r in df.select(T.fmt_num("x").alias("t"), "i").orderBy("i").collect()] == [*shown.values(), "null", None]
+
+
+def test_json_arrays(spark):
+    lines = ["[1,2,3,4]", '"abcdef"', "x"]
+    assert values(spark, lines, J.array_slice("v", 1, -1)) == ["[2,3]", '"bcde"', None]
+    assert values(spark, lines, J.array_slice("v", -2)) == ["[3,4]", '"ef"', None]
+    assert values(spark, ["[1,2.5]", '["a","b"]', "[]", "x", '[1,"a"]'], J.array_add("v")) == ["3.5", "ab", "", "x", "1a"]
+    assert values(spark, ['[1,[2,[3]],"a"]', "{}", "x", "[]"], J.leaves("v")) == [["1", "2", "3", '"a"'], None, None, []]
+
+
 def test_rows_of_one(spark):
     df = spark.createDataFrame([(1, "a b  c"), (2, "")], "i int, v string")
     assert [r["value"] for r in R.words(df, "v", ["i"]).collect()] == ["a", "b", "c"]
@@ -177,6 +192,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["key"]: r["count"] for r in live.tally(live.table_stream(spark, str(tmp_path), "t", 2), "k").collect()} == {0: 34, 1: 33, 2: 33}
 
 
+def test_retained_rows(spark, tmp_path):
+    from weirflow.streaming import live
+
+    spark.range(100).selectExpr("id", "id % 3 AS k", "id * 2 AS v").repartition(5).write.parquet(f"{tmp_path}/r.parquet")
+    rows = live.retain_last(live.table_stream(spark, str(tmp_path), "r", 2), "k", "v", "id", 2).collect()
+    assert sorted((r["key"], r["order"], r["value"]) for r in rows) == [(0, 96, 192), (0, 99, 198), (1, 94, 188), (1, 97, 194), (2, 95, 190), (2, 98, 196)]
+    hits = []
+    live.on_match(live.table_stream(spark, str(tmp_path), "r").selectExpr("cast(id AS string) AS s"), "s", "^9[0-4]$", lambda rows: hits.extend(r["s"] for r in rows.collect()))
+    assert sorted(hits) == ["90", "91", "92", "93", "94"]
+
+
 def test_closed_windows(spark, tmp_path):
     from weirflow.streaming import live
 

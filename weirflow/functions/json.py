@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirflow.functions.text import as_column
+from weirflow.functions.text import as_column, fmt_num
 
 
 def parsed(x: Column | str) -> Column:
@@ -110,3 +113,54 @@ def json_length(x: Column | str) -> Column:
         .when(kind.isNotNull(), F.abs(F.try_variant_get(v, "$", "double")))
         .otherwise(F.length(as_column(x)).cast("double"))
     )
+
+
+def array_slice(x: Column | str, a: int | None = None, b: int | None = None) -> Column:
+    """Elements (or characters of a string) a to b, end exclusive, negative ones from the end, as JSON text; null for others."""
+    array = F.try_variant_get(parsed(x), "$", "array<variant>")
+    string = F.when(F.schema_of_variant(parsed(x)) == "STRING", F.try_variant_get(parsed(x), "$", "string"))
+
+    def bounds(n: Column) -> tuple[Column, Column]:
+        place = lambda k, default: default if k is None else F.greatest(n + k, F.lit(0)) if k < 0 else F.least(F.lit(k), n)
+        low, high = place(a, F.lit(0)), place(b, n)
+        return low, F.greatest(high - low, F.lit(0))
+
+    low, size = bounds(F.size(array))
+    part = F.transform(F.slice(array, low + 1, size), lambda v: F.to_json(v))
+    start, length = bounds(F.length(string))
+    return F.coalesce(F.concat(F.lit("["), F.array_join(part, ","), F.lit("]")), quoted(F.substring(string, start + 1, length)))
+
+
+def array_add(x: Column | str) -> Column:
+    """The sum of an array of numbers as text, else its parts joined; empty for an empty one; other lines pass."""
+    array = F.try_variant_get(parsed(x), "$", "array<variant>")
+    numbers = F.transform(array, lambda v: F.when(F.schema_of_variant(v) != "STRING", F.try_variant_get(v, "$", "double")))
+    texts = F.transform(array, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+    total = F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v)
+    return F.when(array.isNull(), as_column(x)).when(F.size(array) == 0, "").when(total.isNotNull(), fmt_num(total)).otherwise(F.array_join(texts, ""))
+
+
+def leaves(x: Column | str) -> Column:
+    """All leaves of an array, at every depth, as JSON texts; null for anything else. Depth has no bound, hence Python."""
+    def walk(value: object, out: list[str]) -> list[str]:
+        stack = [value]
+        while stack:
+            v = stack.pop()
+            if isinstance(v, list):
+                stack += reversed(v)
+            else:
+                out.append(json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+        return out
+
+    def one(line: str | None) -> list[str] | None:
+        try:
+            value = json.loads(line or "")
+        except (ValueError, RecursionError):
+            return None
+        return walk(value, []) if isinstance(value, list) else None
+
+    @F.pandas_udf("array<string>")
+    def flat(lines: pd.Series) -> pd.Series:
+        return lines.map(one)
+
+    return flat(as_column(x))

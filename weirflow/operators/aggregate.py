@@ -103,3 +103,19 @@ def join_lines(df: DataFrame, column: str, order: list[str], separator: str = "
     """One row with all values joined in order: for results, as its row grows with its input."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("_v"))))
     return df.agg(F.coalesce(F.array_join(F.transform(rows, lambda r: r["_v"]), separator), F.lit("")).alias("value"))
+
+
+def facet(df: DataFrame, field: str, order: list[str], n: int = 32) -> DataFrame:
+    """(key): the first n distinct values that aren't empty, in order of their first row."""
+    seen = df.select(F.col(field).cast("string").alias("key"), *order).filter("key <> ''")
+    return seen.groupBy("key").agg(F.min(F.struct(*order)).alias("_first")).orderBy("_first").limit(n).select("key")
+
+
+def sparkline(df: DataFrame, value: str, order: list[str], n: int = 400) -> DataFrame:
+    """(value): the last n numbers as eight levels between their least and largest, one character each."""
+    rows = df.filter(F.col(value).isNotNull()).orderBy(*[F.desc(c) for c in order]).limit(n)
+    series = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))), lambda r: r["_v"])
+    one = rows.agg(series.alias("x")).select("x", F.array_min("x").alias("lo"), F.array_max("x").alias("hi"))
+    bars = F.split(F.lit("▁▂▃▄▅▆▇█"), "")
+    level = lambda v: F.coalesce(F.round(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")) * 7), F.lit(0)).cast("int")
+    return one.select(F.array_join(F.transform("x", lambda v: F.get(bars, level(v))), "").alias("value"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,6 +31,12 @@ class Node:
     def text(self) -> str:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
+    def outer(self) -> str:
+        """The element's markup."""
+        attributes = "".join(f' {k}="{escape(v)}"' for k, v in self.attributes.items())
+        inner = "".join(escape(c, quote=False) if isinstance(c, str) else c.outer() for c in self.children)
+        return f"<{self.tag}{attributes}>" + ("" if self.tag in _VOID else f"{inner}</{self.tag}>")
+
     def own_text(self) -> str:
         return "".join(c for c in self.children if isinstance(c, str))
 
@@ -112,11 +119,13 @@ def elements(page: str | None, selector: str) -> list[Node]:
     return [n for n in tree.nodes if any(_matches(n, steps) for steps in chains)]
 
 
-def select(df: DataFrame, id_col: str, html_col: str, selector: str, attribute: str | None = None, own: bool = False) -> DataFrame:
-    """(id, sub, value): of each element found its text (all of it, or ``own`` text only), trimmed, or an attribute where it has it."""
+def select(df: DataFrame, id_col: str, html_col: str, selector: str, attribute: str | None = None, own: bool = False, outer: bool = False) -> DataFrame:
+    """(id, sub, value): of each element found its text (all of it, or ``own`` text only), trimmed, its markup, or an attribute where it has it."""
     compile_selector(selector)
 
     def value(node: Node) -> str | None:
+        if outer:
+            return node.outer()
         return node.attributes.get(attribute) if attribute else (node.own_text() if own else node.text()).strip()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

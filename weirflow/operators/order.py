@@ -176,3 +176,13 @@ def ewma(df: DataFrame, order: list[str], value: str, a: float) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ewma double"
     return rows.groupBy("_range").applyInArrow(run, schema)
+
+
+def sort_lines(df: DataFrame, value: str, order: list[str], numeric: bool = False, reverse: bool = False) -> DataFrame:
+    """By bytes, or by each line's first word as a number with other lines last; ``reverse`` turns ties round too."""
+    from weirflow.functions.text import field_at, num
+
+    keys = [F.col(value), *[F.col(c) for c in order]]
+    if numeric:
+        keys = [num(field_at(value, 1)), *[F.col(c) for c in order]]
+    return df.orderBy(*[k.desc_nulls_first() if reverse else k.asc_nulls_last() for k in keys])

@@ -80,3 +80,45 @@ def windowed_counts(stream: DataFrame, time: str, width: str, key: str) -> DataF
         return counted.select(F.col("window.start").alias("start"), "key", "count")
 
     return run_latest(stream, verbs)
+
+
+def on_match(stream: DataFrame, column: str, pattern: str, action: Callable[[DataFrame], None]) -> None:
+    """Call ``action`` with the rows of each batch that match, where there are any; at least once for each row."""
+    where = shared_folder(stream.sparkSession)
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        if not rows.isEmpty():
+            action(rows)
+
+    hits = stream.filter(F.col(column).rlike(pattern))
+    hits.writeStream.foreachBatch(handle).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def retain_last(stream: DataFrame, key: str, value: str, order: str, n: int) -> DataFrame:
+    """(key, value, order): the last n rows of each key by a long ``order``; the state of a key is n rows."""
+    import pandas as pd
+
+    kind, what = (stream.schema[c].dataType.simpleString() for c in (key, value))
+
+    def keep(name: tuple, batches, state):
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for rows in batches:
+            held = sorted([*held, *zip(rows[order].tolist(), rows[value].tolist(), strict=True)], key=lambda r: r[0])[-n:]
+        state.update(([r[0] for r in held], [r[1] for r in held]))
+        yield pd.DataFrame({"key": [name[0]], "orders": [[r[0] for r in held]], "values": [[r[1] for r in held]]})
+
+    def verbs(df: DataFrame) -> DataFrame:
+        rows = df.select(key, value, F.col(order).cast("bigint").alias(order)).groupBy(key)
+        return rows.applyInPandasWithState(keep, f"key {kind}, orders array<bigint>, values array<{what}>", f"orders array<bigint>, values array<{what}>", "update", "NoTimeout")
+
+    spark, where = stream.sparkSession, shared_folder(stream.sparkSession)
+    out = verbs(stream)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{where}/rows/batch={batch}")
+
+    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.parquet(f"{where}/rows")
+    latest = states.groupBy("key").agg(F.max_by(F.struct("orders", "values"), "batch").alias("s"))
+    pairs = latest.select("key", F.explode(F.arrays_zip("s.orders", "s.values")).alias("p"))
+    return pairs.select("key", F.col("p.values").alias("value"), F.col("p.orders").alias("order"))
