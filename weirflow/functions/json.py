@@ -128,7 +128,7 @@ def array_slice(x: Column | str, a: int | None = None, b: int | None = None) ->
     low, size = bounds(F.size(array))
     part = F.transform(F.slice(array, low + 1, size), lambda v: F.to_json(v))
     start, length = bounds(F.length(string))
-    return F.coalesce(F.concat(F.lit("["), F.array_join(part, ","), F.lit("]")), quoted(F.substring(string, start + 1, length)))
+    return F.coalesce(F.concat(F.lit("["), F.array_join(part, ","), F.lit("]")), F.when(string.isNotNull(), quoted(F.substring(string, start + 1, length))))
 
 
 def array_add(x: Column | str) -> Column:
