@@ -12,11 +12,13 @@ A document is its set of word n-grams ("tokens", as 64-bit hashes). Two link whe
    indexed, or two frequent ones, and pairs of frequent tokens are indexed. Sets above ``PAIRED`` tokens, with more
    pairs than text, index their frequent tokens singly; sets within a factor of the threshold of that do both.
    Tokens of class 0 link nothing and are not indexed.
-4. Sets that share an index key, directly or through others, make a canopy (connected components over keys, a row per
-   key and set). A canopy is cut in blocks of ``BLOCK_TOKENS`` tokens, and each pair of blocks is one group that counts
-   overlaps by an inverted list and yields a forest of the links it finds, never all pairs.
-5. Components of these links are the result. No link between different sets is lost: any such pair is in one canopy and
-   in one pair of its blocks.
+4. Sets with a key in common are compared by size and by parity bitmaps (each token flips one of ``BITS`` bits), which
+   bound the size of their difference from below, so no link is lost. A group of sets with one key, cut in blocks of
+   ``BLOCK_SETS`` where it is large, yields a forest of the pairs that may link, never all pairs; the components of
+   these forests are the canopies.
+5. A canopy is cut in blocks of ``BLOCK_TOKENS`` tokens, and each pair of blocks is one group that counts overlaps by an
+   inverted list and yields a forest of the links it finds. Components of these links are the result. Any two sets that
+   link are in one canopy and in one pair of its blocks. Only texts that have keys are shuffled.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing, not even with each other;
 texts with fewer than n words have one token, all their words; repeated rows are copies; null ids are not linked; an
@@ -26,21 +28,24 @@ empty table gives no rows; further columns are kept by ``keep_one``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import join_weighted, materialize, mix64, read_table, shingle_set
 from weirflow.llm.components import connected_components
 
-CELLS = 1 << 27
+CELLS = 1 << 26
 #: Documents from which a token is of class 2, and of class 3: these are the frequent ones.
 CLASS_2, CLASS_3 = 64, 1024
 PAIRED = 400
+BITS = 512
+BLOCK_SETS = 1024
 BLOCK_TOKENS = 400_000
 FLUSH = 4_000_000
 
@@ -132,7 +137,7 @@ def class_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- index keys
 
 
-def index_keys(tokens: np.ndarray, classes: np.ndarray, threshold: Fraction) -> np.ndarray:
+def index_keys(tokens: np.ndarray, classes: np.ndarray, threshold: Fraction, paired: int = PAIRED) -> np.ndarray:
     """The index keys of a set: single tokens, and pairs of frequent ones."""
     size = len(tokens)
     if not size:
@@ -146,116 +151,164 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray, threshold: Fraction) ->
     keys = [prefix[level == 1]]
     frequent = np.sort(prefix[level > 1])
     if len(frequent):
-        if size >= PAIRED:
+        if size >= paired:
             keys.append(frequent)
-        if size * threshold < PAIRED + 1 and len(frequent) > 1:
+        if size * threshold < paired + 1 and len(frequent) > 1:
             i, j = np.triu_indices(len(frequent), 1)
             with np.errstate(over="ignore"):
                 keys.append(mix64(frequent[i] * np.uint64(0x9E3779B97F4A7C15) + frequent[j]))
     return np.concatenate(keys)
 
 
-def index(docs: DataFrame, words: int, classes: np.ndarray, threshold: Fraction) -> DataFrame:
-    """(doc_id, keys) of the documents that have keys."""
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Each token flips a bit: two sets' bitmaps differ in no more bits than the sets in tokens."""
+    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def index(docs: DataFrame, words: int, classes: Broadcast, threshold: Fraction, paired: int = PAIRED) -> DataFrame:
+    """(doc_id, text, bits, keys) of the documents that have keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                keys = [index_keys(shingle_set(text.as_py(), words), sent.value, threshold) for text in part.column(1)]
-                ends = np.cumsum([0, *map(len, keys)])
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                rows = pa.RecordBatch.from_arrays([part.column(0), listed], ["doc_id", "keys"])
-                yield rows.filter(pa.array(np.diff(ends) > 0) if part.num_rows else pa.array([], pa.bool_()))
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, keys array<bigint>")
-
-
-# ---------------------------------------------------------------- verification of blocks
-
-
-def links_of(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, threshold: Fraction) -> list[tuple[int, int]]:
-    """A forest of the links within one block (right is None) or between two: exact overlaps from an inverted list."""
-    sets = left + (right or [])
-    sizes = np.array([len(t) for _, t in sets], np.int64)
-    tokens = np.concatenate([t for _, t in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    _, start, length = np.unique(tokens[order], return_index=True, return_counts=True)
-    place = np.empty(len(tokens), np.int64)  # each token's posting list
-    place[order] = np.repeat(np.arange(len(start)), length)
-    owners = owner[order]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+                rows = []
+                for k, text in enumerate(part.column(1)):
+                    tokens = shingle_set(text.as_py(), words)
+                    keys = index_keys(tokens, classes.value, threshold, paired)
+                    if len(keys):
+                        rows.append((k, len(tokens), bitmap(tokens), keys))
+                kept = part.take(pa.array([r[0] for r in rows], pa.int64()))
+                ends = pa.array(np.cumsum([0, *[len(r[3]) for r in rows]]), pa.int32())
+                flat = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.uint64)
+                columns = [*kept.columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n", "bits", "keys"])
 
-    top, bottom = threshold.numerator, threshold.denominator
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string, n bigint, bits binary, keys array<bigint>")
+
+
+# ---------------------------------------------------------------- blocks
+
+
+def paired_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Each row once for every pair of its group's blocks that has its own: adds task. ``blocks`` is the group's number of them."""
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda k: (k != F.col("_own")) | (blocks == 1))
+    placed = rows.withColumn("_own", own).withColumn("_other", F.explode(others))
+    return placed.withColumn("task", F.xxhash64(group, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other")
+
+
+def forests(rows: DataFrame, columns: list[str], join: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """Edges (a, b) that ``join`` finds among the rows (doc_id, columns...) of each task, one task at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, last = None, [], None
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            for name, doc, *values in zip(*(batch.column(i).to_pylist() for i in range(2 + len(columns))), strict=True):
+                if name != task:
+                    found += join(held) if len(held) > 1 else []
+                    task, held, last = name, [], None
+                if doc != last:  # repeated rows once
+                    held.append((doc, *values))
+                    last = doc
+            if len(found) > 10_000:
+                yield edges(found)
+                found = []
+        found += join(held) if len(held) > 1 else []
+        yield edges(found)
+
+    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    dealt = rows.select("task", "doc_id", *columns).repartition("task").sortWithinPartitions("task", "doc_id")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def spread(docs: list[int], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the graph in which ``near`` gives those of some nodes that a node has edges to."""
+    left = np.ones(len(docs), bool)
     found = []
-    for i in range(len(left)):
-        lists = place[first[i] : first[i + 1]]
-        lists = lists[length[lists] > 1]
-        if not len(lists):
+    for seed in range(len(docs)):
+        if not left[seed]:
             continue
-        overlap = np.bincount(np.concatenate([owners[start[k] : start[k] + length[k]] for k in lists.tolist()]), minlength=len(sets))
-        other = np.flatnonzero(bottom * overlap >= top * (sizes + sizes[i] - overlap))
-        for j in other[other > i if right is None else other >= len(left)].tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a] = b
-                found.append((sets[i][0], sets[j][0]))
+        left[seed] = False
+        queue = [seed]
+        while queue:
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return found
+            i = queue.pop()
+            new = near(i, rest)
+            left[new] = False
+            queue += new.tolist()
+            found += [(docs[i], docs[j]) for j in new.tolist()]
     return found
 
 
-def verify(members: DataFrame, docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """Links (a, b) among the members (doc_id, task, side) of pairs of blocks."""
+def may_link(threshold: Fraction) -> Callable[[list[tuple]], list[tuple[int, int]]]:
+    """For rows (doc_id, n, bits): a forest of the pairs whose sizes and bitmaps allow a link."""
+    t, apart = float(threshold), float((1 - threshold) / (1 + threshold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sides = None, ([], [])
+    def join(rows: list[tuple]) -> list[tuple[int, int]]:
+        n = np.array([r[1] for r in rows], float)
+        bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
 
-        def done() -> Iterator[pa.RecordBatch]:
-            left, right, both = sides[0], sides[1], task is not None and task.endswith("*")
-            if left and (both or right):
-                links = links_of(left, None if both else right, threshold)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            sized = rest[(np.minimum(n[rest], n[i]) >= t * np.maximum(n[rest], n[i]) - 1e-6)]
+            differ = np.bitwise_count(bits[sized] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            return sized[differ <= apart * (n[sized] + n[i]) + 1e-6]
 
-        for batch in batches:
-            for name, side, doc, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if (name := name.as_py()) != task:
-                    yield from done()
-                    task, sides = name, ([], [])
-                sides[side.as_py()].append((doc.as_py(), shingle_set(text.as_py(), words)))
-        yield from done()
-
-    texts = members.join(docs.select(F.col("doc_id").cast("bigint"), "text").dropDuplicates(["doc_id"]), "doc_id")
-    parts = F.sha2("task", 256)
-    dealt = texts.select("task", "side", "doc_id", "text").repartition(F.substring(parts, 1, 8), "task").sortWithinPartitions("task", "side")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+        return spread([r[0] for r in rows], near)
+
+    return join
+
+
+def links(words: int, threshold: Fraction) -> Callable[[list[tuple]], list[tuple[int, int]]]:
+    """For rows (doc_id, text): a forest of their links, by exact overlaps from an inverted list."""
+    top, bottom = threshold.numerator, threshold.denominator
 
+    def join(rows: list[tuple]) -> list[tuple[int, int]]:
+        sets = [shingle_set(r[1], words) for r in rows]
+        sizes = np.array([len(t) for t in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        _, start, length = np.unique(tokens[order], return_index=True, return_counts=True)
+        place = np.empty(len(tokens), np.int64)  # each token's posting list
+        place[order] = np.repeat(np.arange(len(start)), length)
+        owners = np.repeat(np.arange(len(sets)), sizes)[order]
+        first = np.concatenate([[0], np.cumsum(sizes)])
 
-def canopies(keys: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, task, side): the pairs of blocks of every canopy, with their members."""
-    each = materialize(keys.select("doc_id", F.explode("keys").alias("key")), "index")
-    hubs = materialize(each.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs")
-    edges = join_weighted(each, hubs, "key", "n").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    found = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("canopy")).join(sizes, "doc_id")
-    found = materialize(found, "canopies")
-    blocks = found.groupBy("canopy").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    placed = join_weighted(found, materialize(blocks, "blocks"), "canopy", "members")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    task = F.concat_ws(":", "canopy", low, high, F.when(low == high, "*").otherwise("-"))
-    return placed.select("doc_id", task.alias("task"), F.when(F.col("own") == low, 0).otherwise(1).alias("side"))
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            lists = place[first[i] : first[i + 1]]
+            overlap = np.bincount(np.concatenate([owners[start[k] : start[k] + length[k]] for k in lists.tolist()]), minlength=len(sets))[rest]
+            return rest[bottom * overlap >= top * (sizes[rest] + sizes[i] - overlap)]
 
+        return spread([r[0] for r in rows], near)
 
-def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    return join
+
+
+def canopies(keyed: DataFrame, threshold: Fraction) -> DataFrame:
+    """(doc_id, canopy) of the sets that share a key with one they may link with."""
+    each = materialize(keyed.select("doc_id", F.explode("keys").alias("key")), "index")
+    shared = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "shared-keys")
+    rows = join_weighted(each, shared, "key", "uses").join(keyed.select("doc_id", "n", "bits"), "doc_id")
+    tasks = paired_blocks(rows, "key", F.ceil(F.col("uses") / BLOCK_SETS).cast("int"))
+    return connected_components(forests(tasks, ["n", "bits"], may_link(threshold))).withColumnsRenamed({"node": "doc_id", "component": "canopy"})
+
+
+def verified_links(placed: DataFrame, keyed: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """(a, b): a forest of the links within canopies."""
+    placed = materialize(placed.join(keyed.select("doc_id", "n"), "doc_id"), "canopies")
+    blocks = placed.groupBy("canopy").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    members = join_weighted(placed, materialize(blocks, "blocks"), "canopy", "members")
+    tasks = paired_blocks(members, "canopy", F.col("blocks")).select("task", "doc_id").join(keyed.select("doc_id", "text"), "doc_id")
+    return materialize(forests(tasks, ["text"], links(words, threshold)), "links")
+
+
+def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), paired: int = PAIRED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     shards = 1 << max(4, (2 * docs.rdd.getNumPartitions() - 1).bit_length())  # so that a shard has whole cells
     table = token_table(docs, words, shards)
@@ -266,11 +319,12 @@ def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fracti
     key = F.concat_ws(":", "set_hash", "set_check", "n")
     rows = rows.withColumn("set", F.when(F.col("n") > 0, key))
     sets = materialize(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "sets")
-    sizes = sets.select(F.col("first").alias("doc_id"), "n")
-    keys = index(docs, words, classes, threshold).join(sizes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = materialize(canopies(keys, sizes), "members")
-    links = materialize(verify(members, docs, words, threshold), "links")
-    linked = connected_components(links).withColumnsRenamed({"node": "first", "component": "_component"})
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+    keyed = index(docs, words, sent, threshold, paired).join(sets.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    keyed = materialize(keyed, "keyed")
+    sent.destroy()
+    found = verified_links(canopies(keyed, threshold), keyed, words, threshold)
+    linked = connected_components(found).withColumnsRenamed({"node": "first", "component": "_component"})
     sets = sets.join(linked, "first", "left").select("set", "copies", F.coalesce("_component", "first").alias("component_id"))
     single = rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     placed = join_weighted(rows.filter("n > 0 AND doc_id IS NOT NULL"), materialize(sets, "placed-sets"), "set", "copies")
