@@ -17,10 +17,12 @@ piece, so repeated rows get places of their own; an empty table gives no rows; f
 
 from __future__ import annotations
 
+import os
 import re
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,15 @@ from weirflow.llm.common import materialize, read_table
 
 WINDOW = 4096
 END_ID = 1
+END = array("I", [END_ID]).tobytes()
 #: Patterns: the window is divided in GRID steps, and a pattern has at most PARTS pieces.
 GRID, PARTS = 32, 4
-#: Texts with these are tokenised whole: characters that Python's split() or lower() treat in a way of their own.
-_ODD = re.compile("[\x1c-\x1f\x85Σ]")
-#: Distinct chunks whose ids a worker keeps.
-CACHE = 300_000
+#: Texts with these are tokenised whole: characters that Python's split() or lower() treat in a way of their own, and combining marks.
+_ODD = re.compile("[\x1c-\x1f\x85İΣ\u0300-\u036f]")
+#: Distinct chunks whose ids a worker keeps, in each of two generations.
+CACHE = 600_000
+#: Texts tokenised together.
+BLOCK = 128
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,51 +52,102 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, by way of their white-space separated chunks, which this tokenizer never joins."""
+    """Ids of whole texts, by way of their lower-cased, white-space separated chunks, which this tokenizer never joins.
+
+    Chunks met for the first time in a block of texts are tokenised together. Chunks are kept in two generations: when
+    the young ones are too many, they become the old ones and the former old ones go.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops = {c: self.whole(c) for c in ".,"}
+        self.divider = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text and of its end."""
-        end = END_ID.to_bytes(4, "little")
-        if _ODD.search(text):
-            return self.whole(text) + end
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[c] for c in chunks]) + end
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[c] for c in chunks]) + end
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def tokenise(self, chunks: list[str]) -> None:
+        """Those without a 0 at once, with zeros between them: only these give the zero's id."""
+        plain = [c for c in chunks if "0" not in c]
+        ids = np.array(self.tokenizer.encode(" 0 ".join(plain), add_special_tokens=False).ids, "<u4")
+        ends = (4 * np.append(np.flatnonzero(ids == self.divider), len(ids))).tolist()
+        data, start = ids.tobytes(), 0
+        for chunk, end in zip(plain, ends, strict=bool(plain)):
+            self.young[chunk] = data[start:end]
+            start = end + 4
+        for chunk in chunks:
+            if "0" in chunk:
+                self.young[chunk] = self.whole(chunk)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Tokenise new chunks; a full stop or comma after a letter is a token of its own."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        bare = {c: c[:-1] if c[-1] in self.stops and "a" <= c[-2:-1] <= "z" else c for c in chunks}
+        new = []
+        for chunk in set(bare.values()):
+            if chunk not in self.young:
+                if chunk in self.old:
+                    self.young[chunk] = self.old[chunk]
+                else:
+                    new.append(chunk)
+        self.tokenise(new)
+        for chunk, stem in bare.items():
+            if chunk is not stem:
+                self.young[chunk] = self.young[stem] + self.stops[chunk[-1]]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text and of its end."""
+        found, gaps = [], []
+        for text in texts:
+            if _ODD.search(text):
+                found.append([self.whole(text)])
+                continue
+            chunks = text.lower().split()
+            parts = list(map(self.young.get, chunks))
+            at = -1
+            while True:
+                try:
+                    at = parts.index(None, at + 1)
+                except ValueError:
+                    break
+                gaps.append((parts, at, chunks[at]))
+            found.append(parts)
+        if gaps:
+            self.learn({chunk for _, _, chunk in gaps})
+            for parts, at, chunk in gaps:
+                parts[at] = self.young[chunk]
+        for parts in found:
+            parts.append(END)
+            yield b"".join(parts)
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One for each Python worker, which Spark uses for many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunked = ChunkTokenizer(path)
+        chunked = worker_tokenizer(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = chunked.ids(text.as_py() or "")
-                for k, at in enumerate(range(0, len(ids), 4 * window)):
-                    part = ids[at : at + 4 * window]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), chunked.ids(texts), strict=True):
+                    for k, at in enumerate(range(0, len(ids), 4 * window)):
+                        piece = ids[at : at + 4 * window]
+                        rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
