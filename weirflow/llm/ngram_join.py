@@ -47,7 +47,7 @@ PAIRED = 400
 BITS = 512
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 400_000
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 
 
 # ---------------------------------------------------------------- counting of tokens

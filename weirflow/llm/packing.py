@@ -40,7 +40,7 @@ GRID, PARTS = 32, 4
 #: Texts with these are tokenised whole: characters that Python's split() or lower() treat in a way of their own, and combining marks.
 _ODD = re.compile("[\x1c-\x1f\x85İΣ\u0300-\u036f]")
 #: Distinct chunks whose ids a worker keeps, in each of two generations.
-CACHE = 600_000
+CACHE = 250_000
 #: Texts tokenised together.
 BLOCK = 128
 
