@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty texts, repeats, extra columns and empty tables."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -210,6 +211,19 @@ def test_index_persists(spark):
 # ---------------------------------------------------------------- 5
 
 
+def best_fit_decreasing(lengths, window=4096):
+    free, sequences = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(free, n)
+        if k < len(free):
+            left = free.pop(k) - n
+        else:
+            sequences, left = sequences + 1, window - n
+        if left:
+            bisect.insort(free, left)
+    return sequences
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -229,7 +243,8 @@ def test_packing(spark):
     for _, group in rows.sort_values("offset").groupby("sequence_id"):
         ends = (group["offset"] + group["length"]).tolist()
         assert group["offset"].tolist() == [0, *ends[:-1]] and ends[-1] <= 4096
-    assert rows["sequence_id"].nunique() <= -(-total // 4096) * 1.03 + 1
+    # no volume bound: pieces of over half a window, which many of these are, can't share one
+    assert -(-total // 4096) <= rows["sequence_id"].nunique() <= best_fit_decreasing(rows["length"].tolist())
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
