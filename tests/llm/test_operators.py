@@ -341,6 +341,13 @@ def test_scores_are_those_of_the_model(spark):
         assert row["log_probability"] == pytest.approx(expected, abs=0.05)
 
 
+def test_all_trusted_documents_and_their_words_are_learnt(spark):
+    train, held = quality.trusted_ids(spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    assert sorted([*train.tolist(), *held.tolist()]) == list(range(250_000))
+    counts = spark.range(100_000).selectExpr("'en' AS lang", "concat('w', id) AS word", "2L AS c")
+    assert quality.Vocabulary.choose(counts).size == quality.FIRST + 100_000
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -1,7 +1,6 @@
 """Quality classifier (operator 6): perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Trusted documents are those labelled of good quality and not toxic, at most ``MAX_TRUSTED`` of them, by hash; a fifth,
-by hash again, is held out. From the rest:
+Trusted documents are all those labelled of good quality and not toxic; a fifth, by hash, is held out. From the rest:
 
 1. the vocabulary: the most frequent words by language, ``VOCABULARY`` in all at most. Any other word costs the unknown
    word's probability times that of its characters under the rare trusted words' character frequencies; digits are alike;
@@ -35,8 +34,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import materialize, mix64, read_table
 
-MAX_TRUSTED = 200_000
-VOCABULARY = 1 << 16
+VOCABULARY = 1 << 17
 KEEP, MARGIN = 0.99, 0.5
 PRIOR_TOKENS = 40
 #: What the spelling of one unknown word costs at most, so that a key or a number in clean text weighs as one word.
@@ -55,9 +53,9 @@ _DIGIT = re.compile(r"\d")
 
 
 def trusted_ids(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids to train on, and those held out; MAX_TRUSTED in all at most."""
+    """Sorted ids to train on, and those held out: 16 bytes for each trusted document on the driver."""
     each = labels.dropna().groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 AND t = 0")
-    rows = each.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(MAX_TRUSTED).toArrow()
+    rows = each.select("doc_id", F.xxhash64("doc_id").alias("h")).toArrow()
     ids, out = rows["doc_id"].to_numpy().astype(np.int64), rows["h"].to_numpy() % HELD_OUT == 0
     return np.sort(ids[~out]), np.sort(ids[out])
 
