@@ -348,6 +348,19 @@ def test_all_trusted_documents_and_their_words_are_learnt(spark):
     assert quality.Vocabulary.choose(counts).size == quality.FIRST + 100_000
 
 
+def test_scores_of_very_long_texts(spark):
+    texts = [words_of(50, k, 40) + " wb wc" * 20 for k in range(60)] + ["wb wc " * 1000, "wb wc " * 100_000]
+    docs, sent = documents(spark, texts), spark.sparkContext.broadcast
+    train = sent(np.arange(0, 60, dtype=np.int64))
+    vocabulary = quality.Vocabulary.choose(quality.word_counts(docs, train))
+    counts = quality.bigram_counts(docs, train, sent(vocabulary), 16)
+    model = quality.estimate(counts, vocabulary.size, 16)
+    rows = {x["doc_id"]: x for x in quality.score(docs, sent(vocabulary), sent(model), counts, 16).collect()}
+    assert (rows[60]["n_tokens"], rows[61]["n_tokens"]) == (2000, 200_000)
+    each = [rows[i]["log_probability"] / rows[i]["n_tokens"] for i in (60, 61)]
+    assert each[0] < 0 and each[1] == pytest.approx(each[0], abs=0.01)
+
+
 # ---------------------------------------------------------------- 7
 
 

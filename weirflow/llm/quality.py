@@ -347,7 +347,7 @@ def score(docs: DataFrame, sent: Broadcast, sent_model: Broadcast, counts: DataF
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 add = np.where(known[at] == keys, more[at], 0.0)
-                parts = np.bincount(owners, np.rint(add * UNIT) * count, n).astype(np.int32)
+                parts = np.bincount(owners, np.rint(add * UNIT) * count, n).astype(np.int64)
                 out.append((block, planes(parts), None))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "parts", "own"])
 
@@ -358,7 +358,7 @@ def score(docs: DataFrame, sent: Broadcast, sent_model: Broadcast, counts: DataF
         total = rows["base"].to_numpy().copy()
         for parts in table["parts"].to_pylist():
             if parts is not None:
-                total += unplanes(parts, np.int32)
+                total += unplanes(parts, np.int64)
         return pa.table({"doc_id": rows["doc_id"], "lang": rows["lang"], "n_tokens": rows["n_tokens"], "log_probability": total / UNIT})
 
     names = ["shard", "block", "n", "keys", "owners", "times", "own"]
