@@ -460,6 +460,12 @@ def test_line_dedup(spark):
     assert line_dedup.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_that_recur(spark):
+    texts = [f"All rights reserved.\n{words_of(8, k)}\nLes.\n\n{k} {words_of(1, k)}\n {k}\t" for k in range(6)] + ["Mentions", "Les. "]
+    rows = {x["doc_id"]: x["dropped_lines"] for x in line_dedup.drop_recurring_lines(documents(spark, texts)).collect()}
+    assert rows == {**{k: [0, 2] for k in range(6)}, 6: [], 7: [0]}
+
+
 # ---------------------------------------------------------------- 10
 
 

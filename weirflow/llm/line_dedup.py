@@ -4,14 +4,13 @@ The tree has a fixed depth: a line goes to the leaf named by its number of token
 tokens with a digit count as the variable ``<*>``. Within a leaf a token at a position is constant when lines of at
 least ``MIN_DOCS`` documents have it there, else it is variable too. A line's template is its leaf and its constant
 tokens. Templates of at least ``MIN_DOCS`` documents and of constants in at least half of their positions recur; their
-lines are dropped from every document.
+lines are dropped from every document. Lines of fewer than ``MIN_TOKENS`` tokens need constants in all positions.
 
 Work is reduced step by step: leaves of too few documents go first, then lines are reduced to distinct ones with their
 number of documents, so only those are taken apart into tokens. Lines, leaves and tokens that a third of all rows share
 are joined by ``join_weighted`` and counted by partial sums.
 
-Defined cases: null and empty texts have one empty line; lines of fewer than ``MIN_TOKENS`` tokens are never dropped;
-repeated rows of one id count as one document and get equal verdicts; further columns are kept by ``drop_recurring_lines``.
+Defined cases: null and empty texts have one empty line; blank lines are never dropped; repeated rows of one id count as one document and get equal verdicts; further columns are kept by ``drop_recurring_lines``.
 """
 
 from __future__ import annotations
@@ -29,10 +28,10 @@ VARIABLE = "<*>"
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, n, leaf, body) of every line of at least MIN_TOKENS tokens; body has its tokens, variables masked."""
+    """(doc_id, line_no, n, leaf, body) of every line that is not blank; body has its tokens, variables masked."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
     tokens = F.filter(F.split("line", "[ \\t\\r\\f\\x0B]+"), lambda t: t != "")
-    lines = lines.select("doc_id", "line_no", tokens.alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
+    lines = lines.select("doc_id", "line_no", tokens.alias("tokens")).filter(F.size("tokens") > 0)
     masked = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
     lines = lines.select("doc_id", "line_no", F.size("tokens").alias("n"), masked.alias("masked"))
     leaf = F.xxhash64("n", F.slice("masked", 1, LEAD))
@@ -64,7 +63,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     constant = (F.col("support") >= MIN_DOCS) & (F.col("token") != VARIABLE)
     pieces = marked.select("line", "n", F.struct("place", F.when(constant, F.col("token")).otherwise(VARIABLE).alias("t")).alias("piece"), constant.cast("int").alias("fixed"))
     lines = pieces.groupBy("line").agg(F.first("n").alias("n"), F.sum("fixed").alias("fixed"), F.array_sort(F.collect_list("piece")).alias("pieces"))
-    lines = lines.filter(F.col("fixed") >= F.col("n") * MIN_CONSTANT)
+    lines = lines.filter(F.col("fixed") >= F.when(F.col("n") < MIN_TOKENS, F.col("n")).otherwise(F.col("n") * MIN_CONSTANT))
     named = lines.select("line", F.xxhash64(F.transform("pieces", lambda p: p["t"])).alias("template"))
     named = materialize(named.join(counted.select("line", "n_rows"), "line"), "templates")
 
