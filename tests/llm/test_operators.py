@@ -466,6 +466,15 @@ def test_short_lines_that_recur(spark):
     assert rows == {**{k: [0, 2] for k in range(6)}, 6: [], 7: [0]}
 
 
+def test_constants_are_counted_by_document(spark):
+    line = lambda name, host: f"job done for {name} on {host} ok"
+    hosts = ["ha", "hb", "hc", "hd", "he"]
+    texts = ["\n".join(line("alice", h) for h in hosts), *[line(name, "h" + name) for name in ("bob", "carl", "dan", "eve", "fay")]]
+    shared = [f"disk of host {d} is full {w}" for d, w in zip(["sda", "sdb", "sda", "sdc", "sda", "sda", "sda"], "pqrstuv", strict=True)]
+    rows = {x["doc_id"]: x["dropped_lines"] for x in line_dedup.drop_recurring_lines(documents(spark, [*texts, *shared])).collect()}
+    assert rows == {0: [0, 1, 2, 3, 4], **dict.fromkeys(range(1, 6), [0]), **{6 + k: [0] if k in (0, 2, 4, 5, 6) else [] for k in range(7)}}
+
+
 # ---------------------------------------------------------------- 10
 
 

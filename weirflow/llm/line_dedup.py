@@ -51,14 +51,19 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(join_weighted(keyed, leaves, "leaf", "n_rows").select("doc_id", "line_no", "leaf", "line"), "shared-lines")
 
     # distinct lines of those leaves, with their text once
-    counted = documents_of(shared, "line")
+    counted = materialize(documents_of(shared, "line"), "counted-lines")
+    # the documents, fewer than MIN_DOCS, of the other lines: only of these can several together make a token constant
+    rare = join_weighted(shared, counted, "line", "n_rows").filter(F.col("n_docs") < MIN_DOCS)
+    rare = rare.groupBy("line").agg(F.collect_set(F.xxhash64("doc_id")).alias("docs"))
     bodies = parsed.select("leaf", "n", "body").join(leaves.select("leaf"), "leaf", "left_semi").groupBy("leaf", "n", "body").agg(F.count(F.lit(1)).alias("_c"))
-    distinct = materialize(bodies.withColumn("line", F.xxhash64("body")).join(counted, "line").drop("_c"), "distinct-lines")
+    distinct = bodies.withColumn("line", F.xxhash64("body")).join(counted, "line").join(rare, "line", "left").drop("_c")
+    distinct = materialize(distinct, "distinct-lines")
 
-    # constants of each leaf
-    token = distinct.select("line", "leaf", "n", "n_docs", F.posexplode(F.split("body", " ")).alias("place", "token"))
+    # constants of each leaf: a line has the token in MIN_DOCS documents, or all lines with it have distinct ones enough
+    token = distinct.select("line", "leaf", "n", "n_docs", "docs", F.posexplode(F.split("body", " ")).alias("place", "token"))
     token = token.withColumn("spot", F.xxhash64("leaf", "place", "token"))
-    support = token.groupBy("spot").agg(F.sum("n_docs").alias("support"), F.count(F.lit(1)).alias("n_spot"))
+    support = token.select("spot", "n_docs", F.explode_outer("docs").alias("doc")).groupBy("spot", "doc").agg(F.max("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("c"))
+    support = support.groupBy("spot").agg(F.greatest(F.max("n_docs"), F.count("doc")).alias("support"), F.sum("c").alias("n_spot"))
     marked = join_weighted(materialize(token.select("line", "n", "place", "token", "spot"), "tokens"), materialize(support, "support"), "spot", "n_spot")
     constant = (F.col("support") >= MIN_DOCS) & (F.col("token") != VARIABLE)
     pieces = marked.select("line", "n", F.struct("place", F.when(constant, F.col("token")).otherwise(VARIABLE).alias("t")).alias("piece"), constant.cast("int").alias("fixed"))
