@@ -211,6 +211,14 @@ def test_closed_windows(spark, tmp_path):
     assert len(rows) in (8, 9) and {r["count"] for r in rows} == {6}
 
 
+def test_sort_numeric_gives_all_rows(spark):
+    from weirflow.plans import verbs
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_size").collect()
+    rows = verbs.QUERIES["sort_numeric"][0](spark, "/root/testdata/sf0.001").collect()
+    assert len(part) > 50 and [r["p_partkey"] for r in rows] == [k for _, k in sorted(((r["p_size"], r["p_partkey"]) for r in part), reverse=True)]
+
+
 def test_entry_without_training_data_operators():
     import os
     import subprocess

@@ -233,5 +233,5 @@ _map("json_add", "lineitem", "l_orderkey", lambda: J.array_add(F.to_json(F.array
 _add("json_flatten", "nation", lambda df: R.explode_to(df.select("n_nationkey", F.concat(F.lit("["), C("n_nationkey").cast("string"), F.lit(",[[7],\"x\"]]")).alias("v")), J.leaves("v"), keep=["n_nationkey"]), "SELECT n_nationkey, CAST(unnest([0, 1, 2]) AS INTEGER) AS sub, unnest([CAST(n_nationkey AS VARCHAR), '7', '\"x\"']) AS value FROM nation")
 _add("facet", "events", lambda df: A.facet(df, "user_id", ["event_id"]), "SELECT CAST(user_id AS VARCHAR) AS key FROM events GROUP BY user_id ORDER BY min(event_id) LIMIT 32")
 _add("sparkline", "events", lambda df: A.sparkline(df, "value", ["event_id"], 60), None)
-_add("sort_numeric", "part", lambda df: O.sort_lines(df.select("p_partkey", F.concat(C("p_size").cast("string"), F.lit(" "), C("p_name")).alias("line")), "line", ["p_partkey"], numeric=True, reverse=True).limit(50), "SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || p_name AS line FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 50")
+_add("sort_numeric", "part", lambda df: O.sort_lines(df.select("p_partkey", F.concat(C("p_size").cast("string"), F.lit(" "), C("p_name")).alias("line")), "line", ["p_partkey"], numeric=True, reverse=True), "SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || p_name AS line FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 50")
 _add("html_outer", "pages", lambda df: H.select(df, "page_id", "html", "nav li a", outer=True).select("page_id", "sub", "value"), "SELECT page_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS sub, unnest(x) AS value FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a .*?</a>') AS x FROM pages)")
