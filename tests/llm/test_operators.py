@@ -248,6 +248,15 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_special_tokens_have_ids_of_their_own():
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|startoftext|> one two", "<|EndOfText|> x", "end <|endoftext|>", "<|endoftext |>", "İ <|endoftext|>"]
+    reference = Tokenizer.from_file(packing.tokenizer_path())
+    found = [np.frombuffer(x, "<u4").tolist() for x in packing.ChunkTokenizer(packing.tokenizer_path()).ids(texts)]
+    assert found == [[*reference.encode(t, add_special_tokens=False).ids, 1] for t in texts] and 49407 in found[0]
+
+
 def test_plan_places_everything():
     r = random.Random(4)
     for trial in range(30):

@@ -37,7 +37,7 @@ END_ID = 1
 END = array("I", [END_ID]).tobytes()
 #: Patterns: the window is divided in GRID steps, and a pattern has at most PARTS pieces.
 GRID, PARTS = 32, 4
-#: Texts with these are tokenised whole: characters that Python's split() or lower() treat in a way of their own, and combining marks.
+#: Texts with these are tokenised whole: characters that Python's split() or lower() treat in a way of their own, and combining marks; so are those with special tokens.
 _ODD = re.compile("[\x1c-\x1f\x85İΣ\u0300-\u036f]")
 #: Distinct chunks whose ids a worker keeps, in each of two generations.
 CACHE = 250_000
@@ -62,7 +62,9 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a special token is found in the raw text, before it is lower-cased and cut; in capitals it is none, and would be one in lower case
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = re.compile(f"{_ODD.pattern}|(?i:{special})" if special else _ODD.pattern)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stops = {c: self.whole(c) for c in ".,"}
@@ -105,7 +107,7 @@ class ChunkTokenizer:
         """Little-endian 32-bit ids of each text and of its end."""
         found, gaps = [], []
         for text in texts:
-            if _ODD.search(text):
+            if self.odd.search(text):
                 found.append([self.whole(text)])
                 continue
             chunks = text.lower().split()
