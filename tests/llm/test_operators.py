@@ -129,6 +129,16 @@ def test_sequences_keep_order_and_captions():
     assert media.parse_sequence(None) == []
 
 
+def test_sequences_lose_no_caption():
+    brief = lambda page: [(i["kind"], i["caption"] if i["kind"] == "media" else i["text"]) for i in media.parse_sequence(page)]
+    assert brief("<figure><table><tr><td>cell</table><figcaption>cap</figcaption></figure>end") == [("text", "cell"), ("text", "cap"), ("text", "end")]
+    assert brief("a<figcaption>cap</figcaption>b") == [("text", "a"), ("text", "cap"), ("text", "b")]
+    assert brief("<figure><img src='x'><figcaption>cap</figure><p>rest</p>") == [("media", "cap"), ("text", "rest")]
+    assert brief("<figcaption>open <p>to the end") == [("text", "open to the end")]
+    assert brief("<figure><img src='x'><figcaption>one<figcaption>two</figcaption></figure>") == [("media", "one"), ("text", "two")]
+    assert brief("<figure><figcaption>cap</figcaption><img src='x'></figure>z<img src='y'>") == [("media", "cap"), ("text", "z"), ("media", None)]
+
+
 # ---------------------------------------------------------------- 3
 
 

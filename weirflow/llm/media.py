@@ -1,7 +1,7 @@
 """Media columns: interleaved sequences of text and media references (operator 2).
 
 ``interleave`` parses HTML into an ordered array of structs, text or media reference, each with its position;
-a figure's caption stays with its reference. ``store`` keeps payloads losslessly as 8-bit mono WAV. ``resolve``
+a figure's caption stays with its reference, or is a text where no reference takes it. ``store`` keeps payloads losslessly as 8-bit mono WAV. ``resolve``
 joins references to what the stored files hold, by the payload's SHA-256 digest and length.
 
 The payload itself never crosses a shuffle: the stored files are read back and measured where they are written,
@@ -47,6 +47,7 @@ class _Sequence(HTMLParser):
         self.silent = 0
         self.figure: int | None = None
         self.caption: list[str] | None = None
+        self.waiting: list | None = None
 
     def flush(self) -> None:
         text = "".join(self.words)
@@ -54,14 +55,35 @@ class _Sequence(HTMLParser):
         if text.strip():
             self.items.append(["text", text, None, None, None])
 
+    def end_caption(self) -> None:
+        """Give the caption to the figure's media; without any it is a text, until one follows in the figure."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        taken = False
+        for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
+            if item[0] == "media":
+                item[4], taken = text, True
+        if taken:
+            self.figure = len(self.items)  # a second caption is not for the same media
+        if text and not taken:
+            self.items.append(["text", text, None, None, None])
+            self.waiting = self.items[-1] if self.figure is not None else None
+
+    def finish(self) -> None:
+        self.end_caption()
+        self.flush()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _SILENT:
             self.silent += 1
         if tag in _BREAKS:
             self.flush()
         if tag == "figure":
-            self.figure = len(self.items)
+            self.end_caption()
+            self.figure, self.waiting = len(self.items), None
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in _MEDIA:
             self.flush()
@@ -70,6 +92,9 @@ class _Sequence(HTMLParser):
             length = found.get("data-bytes") or ""
             digest = source.rpartition(":")[2] if source.startswith("media:sha256:") else None
             self.items.append(["media", source, digest, int(length) if length.isdecimal() and len(length) < 18 else None, found.get("alt")])
+            if self.waiting is not None:
+                self.items = [item for item in self.items if item is not self.waiting]
+                self.items[-1][4], self.waiting, self.figure = self.waiting[1], None, len(self.items)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -79,15 +104,12 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT and self.silent:
             self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
-                if item[0] == "media":
-                    item[4] = text
-        elif tag in _BREAKS:
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
+        if tag in _BREAKS:
             self.flush()
         if tag == "figure":
-            self.figure = None
+            self.figure = self.waiting = None
 
     def handle_data(self, data: str) -> None:
         if self.caption is not None:
@@ -100,7 +122,7 @@ def parse_sequence(page: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(page or "")
     parser.close()
-    parser.flush()
+    parser.finish()
     return [dict(zip(("kind", "text", "digest", "n_bytes", "caption"), item, strict=True)) | {"position": k} for k, item in enumerate(parser.items)]
 
 
