@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.llm import common, components, exact_dedup, language_id, licenses, line_dedup, media, ngram_join, packing, pii, quality, sentencepiece_codec
+from weirflow.llm import common, components, exact_dedup, language_id, licenses, line_dedup, media, ngram_join, packing, pii, quality, sentencepiece_codec, spans
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -321,65 +322,132 @@ def test_quality_classifier(spark):
     assert all(x["kept"] == (x["n_tokens"] > 0) for x in quality.judge(docs, none).collect())
 
 
-def test_scores_are_those_of_the_model(spark):
-    texts = [words_of(50, k, 40) for k in range(60)] + ["wb zzz wc", "wd"]
-    docs, sent = documents(spark, texts), spark.sparkContext.broadcast
-    train = sent(np.arange(0, 60, dtype=np.int64))
-    vocabulary = quality.Vocabulary.choose(quality.word_counts(docs, train))
-    counts = quality.bigram_counts(docs, train, sent(vocabulary), 16)
-    model = quality.estimate(counts, vocabulary.size, 16)
-    bigrams = Counter()
-    for t in texts[:60]:
-        ids = [vocabulary.ids["en"][w] for w in t.split()]
-        bigrams.update(zip([0, *ids], ids, strict=False))
-    n = [sum(c == k for c in bigrams.values()) for k in (1, 2, 3, 4)]
-    d = quality.modified_discounts(np.array(n))
+def trusted_model(texts, train, rare):
+    """A function of (language, text): log probability by dictionaries of strings; the model written out plainly."""
+    word = re.compile("[0-9A-Za-z_\x80-\U0010ffff]+|[^0-9A-Za-z_\x80-\U0010ffff \t-\r]+")
+    cut = lambda lang, t: [(lang, w) for w in word.findall(re.sub("[0-9]", "0", t or ""))]
+    words = Counter(w for i in train for w in cut(*texts[i]))
+    least = max(2, -(-sum(words.values()) // rare))
+    frequent = {w for w, c in words.items() if c >= least}
+    scarce = {w: c for w, c in words.items() if c < least}
+    seen = Counter(b for _, w in scarce for b in w.encode())
+    seen[256] = len(scarce)
+    norm = sum(seen.values()) + 25.7
+
+    def discounts(counts):
+        return quality.modified_discounts(np.array([sum(c == k for c in counts) for k in (1, 2, 3, 4)]))
+
+    ids = lambda lang, t: [w if w in frequent else None for w in cut(lang, t)]
+    pairs = Counter(p for i in train for x in [ids(*texts[i])] for p in zip(["START", *x], x, strict=False))
+    d, d_rare = discounts(pairs.values()), discounts(scarce.values())
     context, follow, before = Counter(), defaultdict(list), Counter()
-    for (v, w), c in bigrams.items():
+    for (v, w), c in pairs.items():
         context[v] += c
         follow[v].append(c)
         before[w] += 1
-    size, total = vocabulary.size, sum(before.values())
-    base = {w: max(before[w] - 0.75, 0) / total for w in range(size)}
+    size, total = len(frequent) + 2, sum(before.values())
+    kinds = [*before.values(), *[0] * (size - len(before))]
+    d_word = discounts(kinds)
+    base = {w: max(c - d_word[min(c, 3)], 0) / total for w, c in before.items()}
     rest = (1 - sum(base.values())) / size
-    word = {w: base[w] + rest for w in range(size)}
-    assert sum(word.values()) == pytest.approx(1)
+    rare_total = max(1, sum(scarce.values()))
+    left_rare = sum(d_rare[min(c, 3)] for c in scarce.values()) / rare_total if scarce else 1.0
 
     def probability(v, w):
+        p = base.get(w, 0) + rest
         if not context[v]:
-            return word[w]
-        left = sum(d[min(c, 3)] for c in follow[v]) / context[v]
-        c = bigrams[v, w]
-        return (c - d[min(c, 3)] if c else 0) / context[v] + left * word[w]
-
-    for v in (0, 2, 5):
-        assert sum(probability(v, w) for w in range(size)) == pytest.approx(1)
-    for row in quality.score(docs, sent(vocabulary), sent(model), counts, 16).collect():
-        ids, spelled = vocabulary.encode("en", texts[row["doc_id"]])
-        expected = spelled + sum(np.log(probability(v, w)) for v, w in zip([0, *ids.tolist()], ids.tolist(), strict=False))
-        assert row["log_probability"] == pytest.approx(expected, abs=0.05)
+            return p
+        c = pairs[v, w]
+        return (c - d[min(c, 3)] if c else 0) / context[v] + sum(d[min(c, 3)] for c in follow[v]) / context[v] * p
+
+    for v in ["START", *list(frequent)[:2]]:
+        assert sum(probability(v, w) for w in [*frequent, None, "START"]) == pytest.approx(1)
+
+    def log_probability(lang, text):
+        x = ids(lang, text)
+        found = sum(np.log(probability(v, w)) for v, w in zip(["START", *x], x, strict=False))
+        for w, i in zip(cut(lang, text), x, strict=True):
+            if i is None:
+                spell = np.log(left_rare) + sum(np.log((seen[b] + 0.1) / norm) for b in [*w[1].encode(), 256])
+                c = scarce.get(w, 0)
+                found += np.logaddexp(np.log((c - d_rare[min(c, 3)]) / rare_total), spell) if c else spell
+        return len(x), found
+
+    return log_probability
+
+
+@pytest.mark.parametrize(("rare", "hot"), [(1_000_000, 1 << 20), (60, 40), (60, 2000)])
+def test_quality_verdicts_by_brute_force(spark, monkeypatch, rare, hot):
+    for name, value in (("RARE", rare), ("HOT", hot), ("SHARD_TOKENS", 1000)):
+        monkeypatch.setattr(quality, name, value)
+    r = random.Random(3)
+    texts = [([None, "en", "fr", ""][k % 4], words_of(r.randint(1, 80), k, 150) + f" u{k % 7}é, 1{k}!") for k in range(400)]
+    texts += [("en", None), ("fr", ""), (None, "never seen -- ÿ"), ("xx", "wb wc"), ("en", words_of(60_000, 1, 40)), ("en", "q" * 3000 + " wb"), texts[5]]
+    docs = spark.createDataFrame([(i, lang, t, 7) for i, (lang, t) in enumerate(texts)], "doc_id bigint, lang string, text string, n bigint").repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(380)] + [(380, 0, 0), (5, 0, 0), (6, 1, 1), (7, None, 0)], "doc_id bigint, quality int, toxic int")
+    held = {x["doc_id"]: x["held"] for x in quality.trusted(labels).collect()}
+    assert set(held) == set(range(380)) - {5, 6}
+    model = trusted_model(texts, [i for i, h in held.items() if not h], rare)
+    rows = {x["doc_id"]: x for x in quality.judge(docs, labels).collect()}
+    assert set(rows) == set(range(len(texts)))
+    scores = [model(lang, t) for lang, t in texts]
+    mean, levels = {}, defaultdict(list)
+    for lang in {lang for lang, _ in texts}:
+        own = [s for (x, _), s in zip(texts, scores, strict=True) if x == lang and s[0]]
+        mean[lang] = -sum(p for _, p in own) / sum(n for n, _ in own)
+    smooth = [(40 * mean[lang] - p) / (n + 40) for (lang, _), (n, p) in zip(texts, scores, strict=True)]
+    for i, h in held.items():
+        if h and scores[i][0]:
+            levels[texts[i][0]].append(smooth[i])
+            levels["all"].append(smooth[i])
+    quantile = lambda x: sorted(x)[int(np.ceil(quality.KEEP * len(x))) - 1]
+    for i, (lang, _) in enumerate(texts):
+        limit = quantile(levels[lang] if len(levels[lang]) >= quality.LEAST else levels["all"])
+        assert rows[i]["n_tokens"] == scores[i][0]
+        assert rows[i]["log_perplexity"] == pytest.approx(smooth[i], abs=0.002)
+        assert rows[i]["threshold"] == pytest.approx(limit, abs=0.004)
+        if abs(smooth[i] - limit) > 0.005:
+            assert rows[i]["kept"] == (scores[i][0] > 0 and smooth[i] <= limit)
 
 
 def test_all_trusted_documents_and_their_words_are_learnt(spark):
-    train, held = quality.trusted_ids(spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
-    assert sorted([*train.tolist(), *held.tolist()]) == list(range(250_000))
-    counts = spark.range(100_000).selectExpr("'en' AS lang", "concat('w', id) AS word", "2L AS c")
-    assert quality.Vocabulary.choose(counts).size == quality.FIRST + 100_000
+    found = quality.trusted(spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    assert found.count() == found.distinct().count() == 250_000
+    texts = spark.range(50_000).selectExpr("'en' AS lang", "concat('w', conv(id, 10, 26), 'x twice twice') AS text")
+    words = quality.word_counts(texts).cache()
+    assert words.agg({"c": "sum"}).first()[0] == 150_000 and words.count() == words.select("word").distinct().count()
+    assert quality.Vocabulary.choose(spark.range(100_000).selectExpr("'en' AS lang", "concat('w', id) AS word", "2L AS c")).size == quality.FIRST + 100_000
 
 
 def test_scores_of_very_long_texts(spark):
     texts = [words_of(50, k, 40) + " wb wc" * 20 for k in range(60)] + ["wb wc " * 1000, "wb wc " * 100_000]
-    docs, sent = documents(spark, texts), spark.sparkContext.broadcast
-    train = sent(np.arange(0, 60, dtype=np.int64))
-    vocabulary = quality.Vocabulary.choose(quality.word_counts(docs, train))
-    counts = quality.bigram_counts(docs, train, sent(vocabulary), 16)
-    model = quality.estimate(counts, vocabulary.size, 16)
-    rows = {x["doc_id"]: x for x in quality.score(docs, sent(vocabulary), sent(model), counts, 16).collect()}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    rows = {x["doc_id"]: x for x in quality.scored(documents(spark, texts), quality.trusted(labels)).collect()}
     assert (rows[60]["n_tokens"], rows[61]["n_tokens"]) == (2000, 200_000)
     each = [rows[i]["log_probability"] / rows[i]["n_tokens"] for i in (60, 61)]
     assert each[0] < 0 and each[1] == pytest.approx(each[0], abs=0.01)
 
 
+def test_spans_and_lookups():
+    texts = ["", "ab  cd", None, "é" * 5 + " x", "y" * 1000 + "\t" + "y" * 1001, "a"]
+    classes = np.ones(256, np.uint8)
+    classes[spans.SPACES] = 0
+    found = []
+    for most in (1, 8, 1 << 20):
+        rows = []
+        for low, high, raw, offsets in spans.slices(pa.array(["skipped", *texts]).slice(1), most):
+            begin, end, text = spans.spans(classes[raw], offsets)
+            words = spans.gathered(raw, begin, end).to_pylist()
+            assert high > low and all(words)
+            rows += zip((low + text).tolist(), words, spans.span_hashes(raw, begin, end).tolist(), strict=True)
+        assert [(i, w) for i, w, _ in rows] == [(i, w) for i, t in enumerate(texts) for w in (t or "").split()]
+        found.append(rows)
+    assert found[0] == found[1] == found[2] and len({h for _, _, h in found[0]}) == 7
+    keys = np.unique(common.mix64(np.arange(500, dtype=np.uint64)))
+    for some in (keys, keys[:1], keys[:0]):
+        assert spans.Lookup(some)(np.append(keys, np.uint64(0))).tolist() == [some.tolist().index(k) if k in some else -1 for k in [*keys, np.uint64(0)]]
+
+
 # ---------------------------------------------------------------- 7
 
 
