@@ -242,7 +242,6 @@ def test_packing(spark):
     texts = [*EDGES, *[words_of(r.choice([3, 40, 700, 1500, 2600]), k) for k in range(150)], *["copy of a text"] * 400]
     rows = packing.pack_documents(documents(spark, texts)).toPandas()
     reference = Tokenizer.from_file(packing.tokenizer_path())
-    reference.encode_special_tokens = True
     total = 0
     for doc, group in rows.groupby("doc_id"):
         ids = [*reference.encode(texts[doc] or "", add_special_tokens=False).ids, 1]
@@ -259,13 +258,33 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
-def test_special_tokens_have_ids_of_their_own():
+def test_ids_are_the_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
 
-    texts = ["a<|endoftext|>b", "<|startoftext|> one two", "<|EndOfText|> x", "end <|endoftext|>", "<|endoftext |>", "İ <|endoftext|>"]
+    texts = ["a<|endoftext|>b", "<|startoftext|> one two", "<|EndOfText|> x", "end <|endoftext|>", "<|endoftext |>", "İ <|endoftext|>", *(t or "" for t in EDGES)]
+    texts += ["it's he'll 'tis THE Don'T. U.S.A., (a)b) end### a***. x'. y',", "ΣΑΣ É É́ e ́x", "a b cd 10 0 0. a0 b00. 007,", "日本語。テスト、 1,000.50 a1. ...?! é. ñ,", "aaaa.... b.,;:!?#* c______ _d"]
+    r = random.Random(4)
+    texts += ["".join(r.choice("aB é.,'0 9#<|>\t\ń ßΣ*-") for _ in range(r.randint(1, 60))) for _ in range(1500)]
     reference = Tokenizer.from_file(packing.tokenizer_path())
-    found = [np.frombuffer(x, "<u4").tolist() for x in packing.ChunkTokenizer(packing.tokenizer_path()).ids(texts)]
-    assert found == [[*reference.encode(t, add_special_tokens=False).ids, 1] for t in texts] and 49407 in found[0]
+    expected = [[*reference.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 49407 in expected[0]
+    for cache, most in ((400_000, 1 << 20), (50, 700)):
+        monkeypatch.setattr(packing, "CACHE", cache)
+        chunked, found = packing.ChunkTokenizer(packing.tokenizer_path()), []
+        for _ in range(2):
+            found = []
+            for _, _, raw, offsets in spans.slices(pa.array(texts), most):
+                ids, total = chunked.ids(raw, offsets)
+                found += [x.tolist() for x in np.split(ids, np.cumsum(total)[:-1])]
+            assert found == expected
+
+
+def test_lengths_have_as_many_groups_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 50)
+    rows = packing.pack_documents(documents(spark, ["one copy"] * 700 + ["another one here"] * 30)).toPandas()
+    assert len(rows) == 730
+    for _, group in rows.sort_values("offset").groupby("sequence_id"):
+        assert group["offset"].tolist() == [0, *group["length"].cumsum().tolist()[:-1]]
 
 
 def test_plan_places_everything():

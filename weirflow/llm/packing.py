@@ -8,7 +8,7 @@
    new sequences where none is wide enough. Both steps work on runs of equal sequences, so the plan, a list of
    intervals (length, first rank, count, first sequence, offset), is bounded by ``WINDOW`` too and not by the corpus.
 4. Each piece gets its rank among those of its length: the number within (length, salt) from a window, plus the
-   start of its salt from the histogram. A length that a third of all pieces have is dealt over all salts.
+   start of its salt from the histogram. A length has a salt for every ``SALT_ROWS`` of its pieces.
    The rank is looked up in the plan.
 
 Defined cases: a null or empty text has the one token that ends a document; equal lengths are ranked by salt, id and
@@ -18,9 +18,7 @@ piece, so repeated rows get places of their own; an empty table gives no rows; f
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,18 +29,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import materialize, read_table
+from weirflow.llm.spans import SPACES, Lookup, gathered, slices, span_hashes, spans
 
 WINDOW = 4096
 END_ID = 1
-END = array("I", [END_ID]).tobytes()
 #: Patterns: the window is divided in GRID steps, and a pattern has at most PARTS pieces.
 GRID, PARTS = 32, 4
-#: Texts with these are tokenised whole: characters that Python's split() or lower() treat in a way of their own, and combining marks; so are those with special tokens.
-_ODD = re.compile("[\x1c-\x1f\x85İΣ\u0300-\u036f]")
-#: Distinct chunks whose ids a worker keeps, in each of two generations.
-CACHE = 250_000
-#: Texts tokenised together.
-BLOCK = 128
+#: Distinct chunks whose ids a worker keeps; chunks tokenised at once.
+CACHE, AT_ONCE = 400_000, 20_000
+#: Pieces for each salt: the most that are ranked in one group.
+SALT_ROWS = 1_000_000
+#: Longest run of punctuation taken from a chunk's end.
+STOPS = 4
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_INSIDE = np.ones(256, bool)
+_INSIDE[SPACES] = False
+_STOP = np.zeros(256, bool)
+_STOP[list(b'.,;:!?#*"()[]{}-_~$%&@=+/')] = True
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,81 +57,110 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, by way of their lower-cased, white-space separated chunks, which this tokenizer never joins.
+    """Ids of whole texts, by way of their chunks between ASCII white space, which this tokenizer never joins.
 
-    Chunks met for the first time in a block of texts are tokenised together. Chunks are kept in two generations: when
-    the young ones are too many, they become the old ones and the former old ones go.
+    Chunks are told apart by 64-bit hashes; those met for the first time in a slice of texts are tokenised together.
+    A run of punctuation at the end of a chunk, after a letter, is a chunk of its own: the tokenizer parts there too.
+    When too many are known, those that the last slice had stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a special token is found in the raw text, before it is lower-cased and cut; in capitals it is none, and would be one in lower case
-        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.odd = re.compile(f"{_ODD.pattern}|(?i:{special})" if special else _ODD.pattern)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.stops = {c: self.whole(c) for c in ".,"}
         self.divider = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
+        self.keep(np.empty(0, np.uint64), [], np.empty(0, np.int64))
+
+    def keep(self, keys: np.ndarray, ids: list[np.ndarray], length: np.ndarray) -> None:
+        """Known chunks: ``keys`` sorted, with their ids one after the other."""
+        self.look, self.length = Lookup(keys), np.append(length, 0)
+        self.ids_of = np.concatenate([np.empty(0, np.uint32), *ids])
+        self.start = np.cumsum(self.length) - self.length
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def tokenise(self, chunks: list[str]) -> None:
-        """Those without a 0 at once, with zeros between them: only these give the zero's id."""
+    def tokenise(self, chunks: list[str]) -> list[np.ndarray]:
+        """Those without a 0 together, with zeros between them: only these give the zero's id."""
         plain = [c for c in chunks if "0" not in c]
-        ids = np.array(self.tokenizer.encode(" 0 ".join(plain), add_special_tokens=False).ids, "<u4")
-        ends = (4 * np.append(np.flatnonzero(ids == self.divider), len(ids))).tolist()
-        data, start = ids.tobytes(), 0
-        for chunk, end in zip(plain, ends, strict=bool(plain)):
-            self.young[chunk] = data[start:end]
-            start = end + 4
-        for chunk in chunks:
-            if "0" in chunk:
-                self.young[chunk] = self.whole(chunk)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Tokenise new chunks; a full stop or comma after a letter is a token of its own."""
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        bare = {c: c[:-1] if c[-1] in self.stops and "a" <= c[-2:-1] <= "z" else c for c in chunks}
-        new = []
-        for chunk in set(bare.values()):
-            if chunk not in self.young:
-                if chunk in self.old:
-                    self.young[chunk] = self.old[chunk]
-                else:
-                    new.append(chunk)
-        self.tokenise(new)
-        for chunk, stem in bare.items():
-            if chunk is not stem:
-                self.young[chunk] = self.young[stem] + self.stops[chunk[-1]]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text and of its end."""
-        found, gaps = [], []
-        for text in texts:
-            if self.odd.search(text):
-                found.append([self.whole(text)])
-                continue
-            chunks = text.lower().split()
-            parts = list(map(self.young.get, chunks))
-            at = -1
-            while True:
-                try:
-                    at = parts.index(None, at + 1)
-                except ValueError:
-                    break
-                gaps.append((parts, at, chunks[at]))
-            found.append(parts)
-        if gaps:
-            self.learn({chunk for _, _, chunk in gaps})
-            for parts, at, chunk in gaps:
-                parts[at] = self.young[chunk]
-        for parts in found:
-            parts.append(END)
-            yield b"".join(parts)
+        parts: dict[str, np.ndarray] = {}
+        for low in range(0, len(plain), AT_ONCE):
+            some = plain[low : low + AT_ONCE]
+            ids = self.whole(" 0 ".join(some))
+            ends = np.append(np.flatnonzero(ids == self.divider), len(ids)).tolist()
+            start = 0
+            for chunk, end in zip(some, ends, strict=True):
+                parts[chunk] = ids[start:end]
+                start = end + 1
+        return [parts[c] if c in parts else self.whole(c) for c in chunks]
+
+    def taken(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of known chunks ``ids`` stand, one after the other, and the chunk each belongs to."""
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        return np.arange(len(owner)) + np.repeat(self.start[ids] - (np.cumsum(lengths) - lengths), lengths), owner
+
+    def learn(self, keys: np.ndarray, chunks: list[str], used: np.ndarray) -> None:
+        """Add new chunks; beyond ``CACHE``, of the known ones only those in ``used`` stay."""
+        known = np.arange(len(self.look.keys) - 1)
+        if len(known) + len(keys) > CACHE:
+            known = np.unique(used)
+        ids = self.tokenise(chunks)
+        start, data = np.append(self.start[known], 0)[:-1], self.ids_of
+        all_keys = np.concatenate([self.look.keys[known], keys])
+        lengths = np.concatenate([self.length[known], np.fromiter(map(len, ids), np.int64, len(ids))])
+        more = np.concatenate([np.empty(0, np.uint32), *ids])
+        starts = np.concatenate([start, len(data) + np.cumsum(lengths[len(known) :]) - lengths[len(known) :]])
+        order = np.argsort(all_keys)
+        lengths, starts = lengths[order], starts[order]
+        at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        self.keep(all_keys[order], [np.concatenate([data, more])[at]], lengths)
+
+    def odd(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts to tokenise whole: with combining marks, controls between space and text, letters lower-cased by context, or what may be a special token."""
+        found = (raw == 0xCC) | (raw == 0xCD) | ((raw >= 0x1C) & (raw <= 0x1F))
+        for first, second in (b"\xc4\xb0", b"\xce\xa3", b"\xc2\x85", b"<|"):
+            at = np.flatnonzero(raw[:-1] == first)
+            found[at[raw[at + 1] == second]] = True
+        return np.unique(np.searchsorted(offsets, np.flatnonzero(found), "right") - 1)
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of all texts of a slice, each followed by ``END_ID``, and the number of each text's."""
+        texts = len(offsets) - 1
+        odd = self.odd(raw, offsets)
+        low = _LOWER[raw]
+        begin, end, text = spans(_INSIDE[low].view(np.uint8), offsets)
+        if len(odd):
+            plain = ~np.isin(text, odd)
+            begin, end, text = begin[plain], end[plain], text[plain]
+        stem = end.copy()
+        for _ in range(STOPS):
+            stem -= (stem > begin + 1) & _STOP[low[stem - 1]]
+        last = low[stem - 1]
+        stem = np.where((last >= 97) & (last <= 122), stem, end)
+        parted = np.flatnonzero(stem < end)
+        begin, end, text = np.insert(begin, parted + 1, stem[parted]), np.insert(stem, parted + 1, end[parted]), np.insert(text, parted + 1, text[parted])
+
+        keys = span_hashes(low, begin, end)
+        at = self.look(keys)
+        if (at < 0).any():
+            new, first = np.unique(keys[at < 0], return_index=True)
+            first = np.flatnonzero(at < 0)[first]
+            self.learn(new, gathered(low, begin[first], end[first]).to_pylist(), at[at >= 0])
+            at = self.look(keys)
+        lengths = self.length[at]
+        whole = {int(k): self.whole(raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")) for k in odd}
+        own = np.bincount(text, lengths, texts).astype(np.int64)
+        total = own + 1
+        for k, found in whole.items():
+            total[k] = len(found) + 1
+        ends = np.cumsum(total)
+        out = np.full(ends[-1], END_ID, np.uint32)
+        source, owner = self.taken(at, lengths)
+        # a chunk's ids move by what stands before its text beyond the chunks' own ids
+        out[np.arange(len(source)) + (ends - total - (np.cumsum(own) - own))[text][owner]] = self.ids_of[source]
+        for k, found in whole.items():
+            out[ends[k] - total[k] : ends[k] - 1] = found
+        return out, total
 
 
 @lru_cache(maxsize=1)
@@ -142,16 +176,17 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunked = worker_tokenizer(path)
         for batch in batches:
-            rows: list[tuple] = []
-            for low in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(low, BLOCK)
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), chunked.ids(texts), strict=True):
-                    for k, at in enumerate(range(0, len(ids), 4 * window)):
-                        piece = ids[at : at + 4 * window]
-                        rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for low, high, raw, offsets in slices(batch.column(1)):
+                ids, total = chunked.ids(raw, offsets)
+                count = -(-total // window)
+                text = np.repeat(np.arange(high - low), count)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+                length = np.minimum(window, total[text] - piece * window)
+                ends = np.cumsum(length)
+                data = memoryview(ids.tobytes())
+                checks = [zlib.crc32(data[4 * b : 4 * e]) for b, e in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(low + text)), *(pa.array(c, t) for c, t in ((piece, pa.int32()), (piece * window, pa.int64()), (length, pa.int64()), (checks, pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
@@ -282,24 +317,29 @@ def plan(histogram: dict[int, int], window: int = WINDOW, grid: int = GRID, part
 def pack(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...), which must be a stored table."""
     spark = found.sparkSession
-    total = found.count()
-    salts = int(min(1024, max(32, 2 ** np.ceil(np.log2(max(1, total) / 1e6)))))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().toPandas()  # window * salts rows at most
-    table = np.zeros((window + 1, salts), np.int64)
-    table[counts["length"], counts["salt"]] = counts["count"]
-    base = np.cumsum(table, axis=1) - table
-    intervals, _ = plan({n: int(c) for n, c in enumerate(table.sum(axis=1)) if c}, window)
-    sent = spark.sparkContext.broadcast((base, intervals))
+    histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # window rows at most
+    groups = np.zeros(window + 2, np.int64)
+    for length, count in histogram.items():
+        groups[length] = -(-count // SALT_ROWS)
+    first = np.cumsum(groups) - groups
+    salts = spark.createDataFrame([(length, int(groups[length])) for length in histogram], "length bigint, salts bigint")
+    salted = found.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts")).drop("salts")
+    counts = salted.groupBy("length", "salt").count().toPandas()  # a row for each length and each SALT_ROWS pieces
+    sizes = np.zeros(first[-1], np.int64)
+    sizes[first[counts["length"]] + counts["salt"].to_numpy()] = counts["count"]
+    before = np.cumsum(sizes) - sizes
+    base = before - np.repeat(before[np.minimum(first, len(sizes) - 1)] if len(sizes) else first, groups)
+    intervals, _ = plan(histogram, window)
+    sent = spark.sparkContext.broadcast((first, base, intervals))
     numbered = salted.withColumn("number", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, intervals = sent.value
+        first, base, intervals = sent.value
         wide = np.int64(1) << np.int64(44)
         keys = intervals[:, 0] * wide + intervals[:, 1]
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = base[length, batch.column("salt").to_numpy()] + batch.column("number").to_numpy() - 1
+            rank = base[first[length] + batch.column("salt").to_numpy()] + batch.column("number").to_numpy() - 1
             row = np.searchsorted(keys, length * wide + rank, "right") - 1
             hit = intervals[row]
             kept = [batch.column(c) for c in names]
