@@ -15,7 +15,7 @@ Defined cases: null and empty texts have one empty line; blank lines are never d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import join_weighted, materialize, read_table
@@ -27,15 +27,25 @@ MIN_CONSTANT = 0.5
 VARIABLE = "<*>"
 
 
+_GAP = " \\t\\r\\f\\x0B"
+#: A token with a digit; the first part looks at starts of tokens only, so long tokens take linear time.
+_NUMBERED = f"(?<![^{_GAP}\\n])[^{_GAP}\\n0-9]*+[0-9][^{_GAP}\\n]*+"
+
+
+def digest(*columns) -> Column:
+    """128 bits of MD5: lines, leaves and templates are told apart by these."""
+    return F.unhex(F.md5(F.concat_ws("\n", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])))
+
+
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, n, leaf, body) of every line that is not blank; body has its tokens, variables masked."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
-    tokens = F.filter(F.split("line", "[ \\t\\r\\f\\x0B]+"), lambda t: t != "")
-    lines = lines.select("doc_id", "line_no", tokens.alias("tokens")).filter(F.size("tokens") > 0)
-    masked = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
-    lines = lines.select("doc_id", "line_no", F.size("tokens").alias("n"), masked.alias("masked"))
-    leaf = F.xxhash64("n", F.slice("masked", 1, LEAD))
-    return lines.select("doc_id", "line_no", "n", leaf.alias("leaf"), F.array_join("masked", " ").alias("body"))
+    """(doc_id, line_no, body) of every line that is not blank; body has its tokens, variables masked."""
+    masked = F.regexp_replace(F.regexp_replace(F.coalesce(text_col, F.lit("")), _NUMBERED, VARIABLE), f"[{_GAP}]+", " ")
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(masked, "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", F.trim("line").alias("body")).filter("body <> ''")
+
+
+def tokens_in(body: str) -> Column:
+    return F.length(body) - F.length(F.translate(body, " ", "")) + 1
 
 
 def documents_of(rows: DataFrame, key: str) -> DataFrame:
@@ -46,22 +56,22 @@ def documents_of(rows: DataFrame, key: str) -> DataFrame:
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no) of the lines to drop."""
     parsed = split_lines(docs, id_col, text_col)
-    keyed = materialize(parsed.select("doc_id", "line_no", "leaf", F.xxhash64("body").alias("line")), "lines")
+    keyed = materialize(parsed.select("doc_id", "line_no", digest(tokens_in("body"), F.substring_index("body", " ", LEAD)).alias("leaf"), digest("body").alias("line"), "body"), "lines")
     leaves = materialize(documents_of(keyed, "leaf").filter(F.col("n_docs") >= MIN_DOCS), "leaves")
-    shared = materialize(join_weighted(keyed, leaves, "leaf", "n_rows").select("doc_id", "line_no", "leaf", "line"), "shared-lines")
+    shared = materialize(join_weighted(keyed, leaves, "leaf", "n_rows").select("doc_id", "line_no", "leaf", "line", "body"), "shared-lines")
 
     # distinct lines of those leaves, with their text once
     counted = materialize(documents_of(shared, "line"), "counted-lines")
     # the documents, fewer than MIN_DOCS, of the other lines: only of these can several together make a token constant
-    rare = join_weighted(shared, counted, "line", "n_rows").filter(F.col("n_docs") < MIN_DOCS)
+    rare = join_weighted(shared.select("doc_id", "line"), counted, "line", "n_rows").filter(F.col("n_docs") < MIN_DOCS)
     rare = rare.groupBy("line").agg(F.collect_set(F.xxhash64("doc_id")).alias("docs"))
-    bodies = parsed.select("leaf", "n", "body").join(leaves.select("leaf"), "leaf", "left_semi").groupBy("leaf", "n", "body").agg(F.count(F.lit(1)).alias("_c"))
-    distinct = bodies.withColumn("line", F.xxhash64("body")).join(counted, "line").join(rare, "line", "left").drop("_c")
+    bodies = shared.groupBy("line", "leaf", "body").agg(F.count(F.lit(1)).alias("_c"))
+    distinct = bodies.withColumn("n", tokens_in("body")).join(counted, "line").join(rare, "line", "left").drop("_c")
     distinct = materialize(distinct, "distinct-lines")
 
     # constants of each leaf: a line has the token in MIN_DOCS documents, or all lines with it have distinct ones enough
     token = distinct.select("line", "leaf", "n", "n_docs", "docs", F.posexplode(F.split("body", " ")).alias("place", "token"))
-    token = token.withColumn("spot", F.xxhash64("leaf", "place", "token"))
+    token = token.withColumn("spot", digest(F.hex("leaf"), "place", "token"))
     support = token.select("spot", "n_docs", F.explode_outer("docs").alias("doc")).groupBy("spot", "doc").agg(F.max("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("c"))
     support = support.groupBy("spot").agg(F.greatest(F.max("n_docs"), F.count("doc")).alias("support"), F.sum("c").alias("n_spot"))
     marked = join_weighted(materialize(token.select("line", "n", "place", "token", "spot"), "tokens"), materialize(support, "support"), "spot", "n_spot")
@@ -69,21 +79,20 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = marked.select("line", "n", F.struct("place", F.when(constant, F.col("token")).otherwise(VARIABLE).alias("t")).alias("piece"), constant.cast("int").alias("fixed"))
     lines = pieces.groupBy("line").agg(F.first("n").alias("n"), F.sum("fixed").alias("fixed"), F.array_sort(F.collect_list("piece")).alias("pieces"))
     lines = lines.filter(F.col("fixed") >= F.when(F.col("n") < MIN_TOKENS, F.col("n")).otherwise(F.col("n") * MIN_CONSTANT))
-    named = lines.select("line", F.xxhash64(F.transform("pieces", lambda p: p["t"])).alias("template"))
+    named = lines.select("line", digest(F.array_join(F.transform("pieces", lambda p: p["t"]), " ")).alias("template"))
     named = materialize(named.join(counted.select("line", "n_rows"), "line"), "templates")
 
     # templates by their documents
-    placed = materialize(join_weighted(shared, named, "line", "n_rows").select("doc_id", "line_no", "template"), "placed")
+    placed = materialize(join_weighted(shared.select("doc_id", "line_no", "line"), named, "line", "n_rows").select("doc_id", "line_no", "template"), "placed")
     recurring = documents_of(placed, "template").filter(F.col("n_docs") >= MIN_DOCS)
     return join_weighted(placed, materialize(recurring, "recurring"), "template", "n_rows").select("doc_id", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with the lines of recurring templates taken out; adds dropped_lines, their numbers in order."""
-    dropped = recurring_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped_lines"))
-    dropped = dropped.withColumnRenamed("doc_id", "_dropped_id")
-    found = docs.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left").drop("_dropped_id")
-    found = found.withColumn("dropped_lines", F.coalesce("dropped_lines", F.array().cast("array<int>")))
+    """``docs``, all columns, with the lines of recurring templates taken out; adds dropped_lines, their numbers in order (in place of an input column of that name)."""
+    dropped = recurring_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_dropped_id")).agg(F.array_sort(F.collect_set("line_no")).alias("_dropped_lines"))
+    found = docs.drop("dropped_lines").join(dropped, F.col(id_col) == F.col("_dropped_id"), "left").drop("_dropped_id")
+    found = found.withColumn("dropped_lines", F.coalesce("_dropped_lines", F.array().cast("array<int>"))).drop("_dropped_lines")
     lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
     kept = F.filter(lines, lambda line, k: ~F.array_contains("dropped_lines", k))
     return found.withColumn(text_col, F.when(F.size("dropped_lines") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
@@ -109,19 +118,19 @@ parsed AS (
          lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{VARIABLE}' ELSE t END) AS w FROM lines),
 keyed AS (
   SELECT doc_id, line_no, len(w) AS n, w, len(w) || ' ' || array_to_string(w[1:{LEAD}], ' ') AS leaf, array_to_string(w, ' ') AS body
-  FROM parsed WHERE len(w) >= {MIN_TOKENS}),
+  FROM parsed WHERE len(w) > 0),
 leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-distinct_lines AS (
-  SELECT leaf, body, any_value(w) AS w, count(DISTINCT doc_id) AS n_docs FROM keyed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, body),
 tokens AS (
-  SELECT leaf, body, n_docs, unnest(range(0, len(w))) AS place, unnest(w) AS token FROM distinct_lines),
-support AS (SELECT leaf, place, token, sum(n_docs) AS s FROM tokens GROUP BY ALL),
+  SELECT doc_id, leaf, body, unnest(range(0, len(w))) AS place, unnest(w) AS token FROM keyed WHERE leaf IN (SELECT leaf FROM leaves)),
+support AS (SELECT leaf, place, token, count(DISTINCT doc_id) AS s FROM tokens GROUP BY ALL),
+distinct_tokens AS (SELECT DISTINCT leaf, body, place, token FROM tokens),
 named AS (
   SELECT leaf, body, string_agg(CASE WHEN s >= {MIN_DOCS} THEN token ELSE '{VARIABLE}' END, ' ' ORDER BY place) AS template,
          count(*) FILTER (WHERE s >= {MIN_DOCS} AND token <> '{VARIABLE}') AS fixed, count(*) AS n
-  FROM tokens JOIN support USING (leaf, place, token) GROUP BY leaf, body),
+  FROM distinct_tokens JOIN support USING (leaf, place, token) GROUP BY leaf, body),
 placed AS (
-  SELECT doc_id, line_no, template FROM keyed JOIN named USING (leaf, body) WHERE fixed >= named.n * {MIN_CONSTANT}),
+  SELECT doc_id, line_no, template FROM keyed JOIN named USING (leaf, body)
+  WHERE fixed >= CASE WHEN named.n < {MIN_TOKENS} THEN named.n ELSE named.n * {MIN_CONSTANT} END),
 dropped AS (
   SELECT DISTINCT doc_id, line_no FROM placed
   WHERE template IN (SELECT template FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS})),
