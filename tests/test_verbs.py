@@ -227,3 +227,95 @@ def test_entry_without_training_data_operators():
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['weirflow.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'field_tally' in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=repo, check=True)
+
+
+def test_order_columns_of_any_type(spark, tmp_path):
+    from weirflow.sources import lines as L
+
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k}-{j % 2}\n" for j in range(50)))
+    text = L.lines(spark, str(tmp_path))
+    whole = [f"{k}-{j % 2}" for k in range(3) for j in range(50)]
+    rows = O.numbered(text, ["ord"]).orderBy("row_no").collect()
+    assert [r["value"] for r in rows] == whole and [r["row_no"] for r in rows] == list(range(1, 151))
+    assert [r["value"] for r in O.slice_rows(text, ["ord"], 49, 53).collect()] == whole[48:53]
+    assert [r["value"] for r in O.drop(text, ["ord"], 145).orderBy("ord").collect()] == whole[145:]
+    assert O.dedup(text, ["ord"], "value").count() == 150
+    names = spark.createDataFrame([(w, 1.0) for w in ["b", "10", "9", "a", "", "é", "b"]], "k string, x double").repartition(4)
+    assert [r["k"] for r in O.numbered(names, ["k"]).orderBy("row_no").collect()] == sorted(["b", "10", "9", "a", "", "é", "b"])
+    assert sorted(r["cumsum"] for r in O.cumsum(names, ["k"], "x").collect()) == [1, 2, 3, 4, 5, 6, 7]
+    hot = spark.range(3000).selectExpr("1 AS k", "id AS v").repartition(5)
+    assert sorted(r["row_no"] for r in O.numbered(hot, ["k"]).collect()) == list(range(1, 3001))
+    ranges = O.Ranged(hot, ["k"])
+    assert ranges.rows.select(ranges.part).distinct().count() > 1  # equal rows fill several ranges
+
+
+def test_order_verbs_keep_the_users_columns(spark):
+    names = ["part", "place", "tie", "start", "n", "before", "is_first", "at", "own", "block", "carry", "last"]
+    df = spark.range(20).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"), *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    calls = [lambda d: O.drop(d, ["k"], 3), lambda d: O.every(d, ["k"], 2), lambda d: O.dedup(d, ["k"], "x"), lambda d: O.numbered(d, ["k"]).drop("row_no")]
+    calls += [lambda d: O.delta(d, ["k"], "x").drop("delta"), lambda d: O.cumsum(d, ["k"], "x").drop("cumsum"), lambda d: O.sma(d, ["k"], "x", 3).drop("sma"), lambda d: O.ewma(d, ["k"], "x", 0.5).drop("ewma")]
+    for call in calls:
+        out = call(df)
+        assert out.columns == df.columns
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+    with pytest.raises(ValueError):
+        O.numbered(df, ["k"], "place")
+
+
+def test_quoted_keys_and_stray_percents(spark):
+    assert values(spark, ["""{"it's":1,"a\\"b":2,"x'\\"y":3}"""], J.at("v", "it's")) == ["1"]
+    assert values(spark, ["""{"it's":1,"a\\"b":2,"x'\\"y":3}"""], J.at("v", 'a"b')) == ["2"]
+    assert values(spark, ["""{"it's":1,"a\\"b":2,"x'\\"y":3}"""], J.at("v", "x'\"y")) == ["3"]
+    assert values(spark, ["100%25 is 5%", "%zz%41", "a+b%", "%ff"], T.urldec("v")) == ["100% is 5%", "%zzA", "a+b%", "%ff"]
+
+
+def test_values_of_any_type(spark):
+    from weirflow.functions import values as V
+
+    def op(f, *pairs):
+        df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+        return [r[0] for r in df.select(f("a", "b").alias("x"), "i").orderBy("i").collect()]
+
+    assert op(V.plus, ("1", "2.5"), ("null", "[1]"), ('"a"', '"b\\n"'), ("abc", '"d"'), ("[1,2]", "[3]"), ('{"a":1,"b":2}', '{"b":3}'), ("1", '"a"'), (None, "1")) == ["3.5", "[1]", '"ab\\n"', '"abcd"', "[1,2,3]", '{"a":1,"b":3}', None, None]
+    assert op(V.minus, ("1", "2"), ("[1,2,1,3]", "[1.0]"), ('"a"', "1"), ("[1]", "1")) == ["-1", "[2,3]", None, None]
+    assert op(V.times, ("3", "4"), ('"ab"', "2"), ("0", '"ab"'), ('"ab"', "0.5"), ("[1]", "2")) == ["12", '"abab"', "null", '"ab"', None]
+    assert op(V.over, ("6", "4"), ("1", "0"), ('"a, b"', '", "'), ('"abc"', '""'), ('"a.b"', '"."'), ("[1]", "1")) == ["1.5", None, '["a","b"]', '["a","b","c"]', '["a","b"]', None]
+    assert op(V.modulo, ("5.5", "3"), ("-5", "3"), ("5", "0.5"), ("1e19", "3"), ('"a"', "3")) == ["2", "-2", None, "1", None]
+    lines = ['{"a":2}', "null", "[1,2]", '"b"', "true", "10", "false", "[1]", "9", '{"a":1}', "abc", '{"A":3,"b":0}']
+    df = spark.createDataFrame([(x,) for x in lines], "v string")
+    assert [r["v"] for r in df.orderBy(V.order_key("v")).collect()] == ["null", "false", "true", "9", "10", "abc", '"b"', "[1]", "[1,2]", '{"A":3,"b":0}', '{"a":1}', '{"a":2}']
+    assert values(spark, ["null", "false", "0", '""', "[]", None, " false"], V.truthy("v")) == [False, False, True, True, True, False, False]
+    assert values(spark, ['{"b":1,"a":[2]}', "3"], V.to_entries("v")) == ['[{"key":"a","value":[2]},{"key":"b","value":1}]', None]
+    assert values(spark, ["[1,2]", "5"], V.mapped("v", lambda e: V.plus(e, F.lit("1")))) == ["[2,3]", None]
+
+
+def test_records_in_lines(spark):
+    from weirflow.operators import records as RV
+
+    lines = ['{"name":"a","age":30}', '{"name":"b","age":5}', "not-json", '{"name":"c","age":5}', '{"age":"x"}', "{}", "7 up", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, v string").repartition(3)
+    assert [r["i"] for r in RV.sort_by(df, "v", "age", ["i"]).collect()] == [1, 3, 0, 4, 5, 2, 6, 7]
+    assert [r["i"] for r in RV.over(df, "v", 5, "age").collect()] == [0] and [r["i"] for r in RV.under(df, "v", 8, 1).collect()] == [6]
+    assert {r["i"] for r in RV.grepf(df, "v", "name", "^[ab]").collect()} == {0, 1}
+    assert values(spark, ["-1.5", "x", "", " -2 "], F.lit(1)) == [1] * 4
+    out = RV.change_number(spark.createDataFrame([(1, "-1.5"), (2, "x"), (3, " -2 "), (4, None)], "i int, v string"), "v", F.abs)
+    assert [r["v"] for r in out.orderBy("i").collect()] == ["1.5", "x", "2", None]
+
+
+def test_scores_of_literal_terms():
+    one = lambda line, query: fuzzy.score(line, fuzzy.terms(query))
+    assert one("a_b_c x", "'abc | x") == one("a_b_c x", "x") == 32
+    assert one("xabc abc", "'abc") == 16 + 16 + 2 * (16 + 8) and one("xabc", "'abc") == 16 + 2 * 20
+    assert one("abc", "^abc$") == one("  abc ", "^abc$") == one("abc", "^abc") and one("abc", "!x") == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from weirflow.operators import stored
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(RuntimeError):
+        stored.shared_dir(Session())

@@ -22,8 +22,12 @@ def at(x: Column | str, *path: str | int, kind: str = "string") -> Column:
     for k, step in enumerate(path):
         if isinstance(step, int) and step < 0:
             v = F.try_element_at(F.try_variant_get(v, "$", "array<variant>"), F.lit(step))
-        else:
+        elif isinstance(step, int) or "'" not in step:
             v = F.try_variant_get(v, f"$[{step}]" if isinstance(step, int) else f"$['{step}']", "variant")
+        elif '"' not in step:
+            v = F.try_variant_get(v, f'$["{step}"]', "variant")
+        else:  # a path can't spell both quotes
+            v = F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(step))
     return F.try_variant_get(v, "$", kind)
 
 
@@ -40,14 +44,14 @@ def has_key(x: Column | str, key: str) -> Column:
     return F.coalesce(F.array_contains(keys(x), key), F.lit(False))
 
 
-def as_map(x: Column | str) -> Column:
-    """An object's values as JSON text by key."""
-    return F.when(is_object(x), F.map_from_arrays(keys(x), F.transform(keys(x), lambda k: _json_of(x, k))))
+def once(x: Column | str, use) -> Column:
+    """``use`` of a value that is computed one time, however often ``use`` names it: edits of edits stay small plans."""
+    return F.get(F.transform(F.array(as_column(x)), use), F.lit(0))
 
 
-def _json_of(x: Column | str, key: Column) -> Column:
-    whole = F.try_variant_get(parsed(x), "$", "map<string,variant>")
-    return F.to_json(F.element_at(whole, key))
+def as_map(x: Column | str) -> Column:
+    """An object's values as JSON text by key."""
+    return F.when(is_object(x), F.transform_values(F.try_variant_get(parsed(x), "$", "map<string,variant>"), lambda _, v: F.to_json(v)))
 
 
 def object_of(values: Column) -> Column:
@@ -62,7 +66,8 @@ def quoted(x: Column) -> Column:
 
 
 def _edit(x: Column | str, change) -> Column:
-    return F.when(is_object(x), object_of(change(as_map(x)))).otherwise(as_column(x))
+    """An object with its map changed; other lines, and those for which ``change`` gives null, as they are."""
+    return once(x, lambda v: F.coalesce(once(as_map(v), lambda m: F.when(m.isNotNull(), object_of(change(m)))), v))
 
 
 def set_key(x: Column | str, key: str, value: str) -> Column:
@@ -75,18 +80,20 @@ def del_key(x: Column | str, key: str) -> Column:
 
 def rename_key(x: Column | str, old: str, new: str) -> Column:
     moved = lambda m: F.map_concat(F.map_filter(m, lambda k, _: ~k.isin(old, new)), F.create_map(F.lit(new), F.element_at(m, F.lit(old))))
-    return F.when(has_key(x, old), _edit(x, moved)).otherwise(as_column(x))
+    return _edit(x, lambda m: F.when(F.map_contains_key(m, old), moved(m)))
 
 
 def default_key(x: Column | str, key: str, value: str) -> Column:
-    return F.when(is_object(x) & ~has_key(x, key), set_key(x, key, value)).otherwise(as_column(x))
+    return _edit(x, lambda m: F.when(~F.map_contains_key(m, key), F.map_concat(m, F.create_map(F.lit(key), quoted(F.lit(value))))))
 
 
 def pick_keys(x: Column | str, *names: str) -> Column:
     """Only these keys, in this order, those that are there."""
-    m = as_map(x)
-    parts = [F.when(F.map_contains_key(m, n), F.concat(quoted(F.lit(n)), F.lit(":"), F.element_at(m, F.lit(n)))) for n in names]
-    return F.when(is_object(x), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))).otherwise(as_column(x))
+    def chosen(m: Column) -> Column:
+        parts = [F.when(F.map_contains_key(m, n), F.concat(quoted(F.lit(n)), F.lit(":"), F.element_at(m, F.lit(n)))) for n in names]
+        return F.when(m.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+
+    return once(x, lambda v: F.coalesce(once(as_map(v), chosen), v))
 
 
 def entries(x: Column | str) -> Column:

@@ -177,9 +177,13 @@ def urlenc(x: Column | str) -> Column:
 
 
 def urldec(x: Column | str) -> Column:
-    """%XX decoded, a plus sign stays; what isn't well-formed or not UTF-8 passes as it is."""
+    """Each %XX decoded; a plus sign and a percent sign without two digits stay; a line that would not be UTF-8 passes as it is."""
     x = as_column(x)
-    return F.coalesce(F.try_validate_utf8(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))), x)
+    stray = F.regexp_replace(F.replace(x, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    decoded = F.try_url_decode(stray)
+    # the decoder puts U+FFFD for bytes that are no UTF-8
+    broken = decoded.contains("\ufffd") & ~x.contains("\ufffd") & ~F.lower(x).contains("%ef%bf%bd")
+    return F.when(~broken, decoded).otherwise(x)
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

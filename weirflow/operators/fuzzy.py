@@ -106,13 +106,43 @@ def fuzzy_score(line: str, term: Term) -> int:
     return max((b[0] for b in best if b), default=0)
 
 
+def run_score(line: str, term: Term) -> int | None:
+    """Points of the best place where a literal, prefix, suffix or whole-line term stands, its letters in a run; None where it does not."""
+    low, wanted = (line, term.text) if term.cased else (line.lower(), term.text.lower())
+    low = low[: len(line)].ljust(len(line))
+    lead, n = len(low) - len(low.lstrip(" ")), len(wanted)
+    bare = low.strip(" ")
+    if term.kind == "exact":
+        starts, at = [], low.find(wanted)
+        while at >= 0:
+            starts.append(at)
+            at = low.find(wanted, at + 1)
+    elif term.kind == "equal":
+        starts = [lead] if bare == wanted else []
+    elif term.kind == "prefix":
+        starts = [lead] if bare.startswith(wanted) else []
+    else:
+        starts = [lead + len(bare) - n] if bare.endswith(wanted) else []
+    best = None
+    for start in starts:
+        total = run = 0
+        for k in range(start, start + n):
+            here = bonus(line[k - 1] if k else " ", line[k])
+            run = here if k == start else max(run, CONSECUTIVE, here)
+            total += MATCH + run * (FIRST if k == start else 1)
+        best = total if best is None else max(best, total)
+    return best
+
+
+def matched_score(line: str, term: Term) -> int | None:
+    """A term's points, 0 for one that asks for absence, None where the line does not fulfil it."""
+    found = (fuzzy_score(line, term) or None) if term.kind == "fuzzy" else run_score(line, term)
+    return (0 if found is None else None) if term.inverse else found
+
+
 def score(line: str, sets: list[list[Term]]) -> int:
-    """The sum over sets of the first alternative that matches; an exact one counts as letters in a run."""
-    total = 0
-    for alternatives in sets:
-        scores = [fuzzy_score(line, t) for t in alternatives if not t.inverse]
-        total += next((s for s in scores if s), 0)
-    return total
+    """The sum over sets of the first alternative that the line fulfils."""
+    return sum(next((s for t in alternatives if (s := matched_score(line, t)) is not None), 0) for alternatives in sets)
 
 
 def search(df: DataFrame, column: str, query: str, order: list[str]) -> DataFrame:

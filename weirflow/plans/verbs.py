@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import json as J
 from weirflow.functions import text as T
+from weirflow.functions import values as V
 from weirflow.operators import aggregate as A
 from weirflow.operators import fuzzy as Z
 from weirflow.operators import html as H
 from weirflow.operators import order as O
+from weirflow.operators import records as RV
 from weirflow.operators import rows as R
 from weirflow.sources import lines as L
 from weirflow.streaming import live as S
@@ -45,7 +47,7 @@ C = F.col
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 # ---------------------------------------------------------------- filters
-_filter("match", "part", ["p_partkey", "p_name"], lambda: C("p_name").rlike("(?i)gr(e|a)"), "regexp_matches(p_name, '(?i)gr(e|a)')")
+_filter("match", "part", ["p_partkey", "p_name"], lambda: C("p_name").rlike("(?i)B(o|l)"), "regexp_matches(p_name, '(?i)B(o|l)')")
 _filter("reject", "part", ["p_partkey", "p_name"], lambda: ~C("p_name").rlike("[aeiou]r"), "NOT regexp_matches(p_name, '[aeiou]r')")
 _filter("grepf", "part", ["p_partkey", "p_brand"], lambda: C("p_brand").rlike("#[12]$|#.3"), "regexp_matches(p_brand, '#[12]$|#.3')")
 _filter("contains", "part", ["p_partkey"], lambda: C("p_name").contains("an"), "contains(p_name, 'an')")
@@ -59,7 +61,7 @@ _filter("between", "customer", ["c_custkey", "c_acctbal"], lambda: C("c_acctbal"
 _add("where_compound", "lineitem", lambda df: A.count(df.filter((C("l_quantity") > 30) & C("l_discount").between(0.05, 0.07))), "SELECT count(*) AS value FROM lineitem WHERE l_quantity > 30 AND l_discount BETWEEN 0.05 AND 0.07")
 _filter("where_in_list", "nation", ["n_name"], lambda: C("n_regionkey").isin(1, 3), "n_regionkey IN (1, 3)")
 _add("where_string", "lineitem", lambda df: A.count(df.filter(C("l_returnflag") == "R")), "SELECT count(*) AS value FROM lineitem WHERE l_returnflag = 'R'")
-_filter("where_match", "part", ["p_partkey"], lambda: T.matches_query("p_name", "GRE"), "contains(lower(p_name), 'gre')")
+_filter("where_match", "part", ["p_partkey"], lambda: T.matches_query("p_name", "BOL"), "contains(lower(p_name), 'bol')")
 _filter("where_selection", "events", ["event_id"], lambda: T.in_selection(C("event_type"), "click, error"), "event_type IN ('click', 'error')")
 _filter("where_modulo", "orders", ["o_orderkey"], lambda: C("o_totalprice").cast("double") % 3 < 0.5, "o_totalprice % 3 < 0.5")
 _filter("has", "events", ["event_id"], lambda: J.has_key("props", "k"), "list_contains(json_keys(props), 'k')")
@@ -128,7 +130,11 @@ _map("hex", "nation", "n_nationkey", lambda: T.hexed("n_name"), "lower(hex(encod
 _map("unhex", "nation", "n_nationkey", lambda: T.unhexed(T.hexed("n_name")), "n_name")
 _map("urlenc", "pages", "page_id", lambda: T.urlenc("url"), "replace(replace(replace(replace(url_encode(url), '-', '%2D'), '_', '%5F'), '.', '%2E'), '~', '%7E')")
 _map("urldec", "pages", "page_id", lambda: T.urldec(T.urlenc("url")), "url")
-QUERIES["duration"] = (QUERIES["duration"][0], None)
+_PARTS = ", ".join(f"CASE WHEN {e} > 0 THEN ({e}) || '{u}' END" for e, u in (("n // 86400", "d"), ("n % 86400 // 3600", "h"), ("n % 3600 // 60", "m"), ("n % 60", "s")))
+QUERIES["duration"] = (
+    QUERIES["duration"][0],
+    f"SELECT o_orderkey, CASE WHEN n = 0 THEN '0s' ELSE array_to_string(list_filter([{_PARTS}], lambda x: x IS NOT NULL)[1:2], ' ') END AS value FROM (SELECT o_orderkey, CAST(floor(o_totalprice % 86400) AS BIGINT) AS n FROM orders)",
+)
 
 # ---------------------------------------------------------------- order
 _ORDER = "row_number() OVER (ORDER BY o_orderkey)"
@@ -198,6 +204,49 @@ _add(
     "x AS (SELECT a.event_id, sum(b.value * CASE WHEN b.n = 1 THEN power(0.5, a.n - 1) ELSE power(0.5, a.n - b.n + 1) END) AS s FROM n a JOIN n b ON b.n <= a.n AND (b.n > a.n - 60) GROUP BY 1) SELECT event_id, round(s, 4) AS ewma FROM x",
 )
 
+# ---------------------------------------------------------------- records in lines, values of any type
+
+
+def _event_line() -> Column:
+    """A JSON line of several columns, nested, by event type one without value, one with a string, one that is no object."""
+    whole = F.struct(C("event_id").alias("id"), C("event_type").alias("t"), C("value").alias("v"), F.struct(C("user_id").alias("u"), F.array("user_id", "event_id").alias("ids")).alias("n"))
+    text = F.struct(C("event_id").alias("id"), C("event_type").alias("t"), F.concat(F.lit("s"), C("user_id")).alias("v"))
+    return F.when(C("event_type") == "error", F.concat(F.lit("line "), C("event_id"))).when(C("event_type") == "view", F.to_json(text)).otherwise(F.to_json(whole))
+
+
+_REST = "event_type NOT IN ('error', 'view')"
+_add("record_grepf", "events", lambda df: RV.grepf(df.select("event_id", _event_line().alias("value")), "value", "v", "^s.*[13579]$").select("event_id"), "SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 2 = 1")
+_add("record_over", "events", lambda df: RV.over(df.select("event_id", _event_line().alias("value")), "value", 50, "v").select("event_id"), f"SELECT event_id FROM events WHERE {_REST} AND value > 50")
+_add("record_under", "events", lambda df: RV.under(df.select("event_id", F.concat_ws(" ", "event_type", C("value").cast("string")).alias("value")), "value", 50, 2).select("event_id"), "SELECT event_id FROM events WHERE value < 50")
+_add("record_between", "events", lambda df: RV.between(df.select("event_id", F.when(C("event_type") == "error", "none").otherwise(C("value").cast("string")).alias("value")), "value", 10, 60).select("event_id"), "SELECT event_id FROM events WHERE event_type <> 'error' AND value BETWEEN 10 AND 60")
+_add("record_floor", "events", lambda df: RV.change_number(df.select("event_id", F.when(C("event_type") == "error", "1d").otherwise((-C("value")).cast("string")).alias("value")), "value", F.floor), "SELECT event_id, CASE WHEN event_type = 'error' THEN '1d' ELSE CAST(CAST(floor(-value) AS BIGINT) AS VARCHAR) END AS value FROM events")
+_add(
+    "record_sort_by", "events",
+    lambda df: O.numbered(df.select("event_id", _event_line().alias("value")).select("event_id", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(RV.sort_keys("value", "v"))]).alias("k")), ["k", "event_id"], "n").select("event_id", C("n").cast("bigint").alias("n")),
+    "SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 0 END, CASE WHEN event_type NOT IN ('error', 'view') THEN value END, CASE WHEN event_type = 'view' THEN 's' || user_id END, event_id) AS n FROM events",
+)
+_add("record_edits", "events", lambda df: df.select("event_id", J.set_key(J.rename_key(J.del_key(_event_line(), "v"), "t", "type"), "new", "z").alias("value")), "SELECT event_id, CASE WHEN event_type = 'error' THEN 'line ' || event_id WHEN event_type = 'view' THEN '{\"id\":' || event_id || ',\"new\":\"z\",\"type\":\"view\"}' ELSE '{\"id\":' || event_id || ',\"n\":{\"ids\":[' || user_id || ',' || event_id || '],\"u\":' || user_id || '},\"new\":\"z\",\"type\":\"' || event_type || '\"}' END AS value FROM events")
+_add("record_keys", "events", lambda df: R.keys(df.select("event_id", _event_line().alias("value")), "value", ["event_id"]).select("event_id", C("value").alias("key")), f"SELECT event_id, unnest(CASE WHEN event_type = 'error' THEN ['line ' || event_id] WHEN {_REST} THEN ['id', 'n', 't', 'v'] ELSE ['id', 't', 'v'] END) AS key FROM events")
+_map("record_default", "events", "event_id", lambda: J.has_key(J.default_key(_event_line(), "n", "none"), "n"), "event_type <> 'error'")
+_map("value_plus", "orders", "o_orderkey", lambda: V.plus(F.to_json(F.struct(C("o_custkey").alias("a"), C("o_orderkey").alias("b"))), F.to_json(F.struct(C("o_orderstatus").alias("b")))), "'{\"a\":' || o_custkey || ',\"b\":\"' || o_orderstatus || '\"}'")
+_map("value_plus_arrays", "orders", "o_orderkey", lambda: V.plus(F.to_json(F.array("o_orderkey", "o_custkey")), F.to_json(F.array("o_orderstatus"))), "'[' || o_orderkey || ',' || o_custkey || ',\"' || o_orderstatus || '\"]'")
+_map("value_minus", "orders", "o_orderkey", lambda: V.minus(F.to_json(F.array("o_orderkey", F.lit(3), "o_custkey")), F.lit("[3.0]")), "CASE WHEN o_orderkey = 3 AND o_custkey = 3 THEN '[]' WHEN o_orderkey = 3 THEN '[' || o_custkey || ']' WHEN o_custkey = 3 THEN '[' || o_orderkey || ']' ELSE '[' || o_orderkey || ',' || o_custkey || ']' END")
+_map("value_times", "orders", "o_orderkey", lambda: V.times(F.to_json(F.struct(C("o_orderstatus").alias("s"))).substr(6, 3), (C("o_custkey") % 4).cast("string")), "CASE WHEN o_custkey % 4 = 0 THEN 'null' ELSE '\"' || repeat(o_orderstatus, CAST(o_custkey % 4 AS BIGINT)) || '\"' END")
+_map("value_over", "orders", "o_orderkey", lambda: V.over(F.concat(F.lit('"'), C("o_orderpriority"), F.lit('"')), F.lit('"-"')), "'[\"' || replace(o_orderpriority, '-', '\",\"') || '\"]'")
+_map("value_modulo", "orders", "o_orderkey", lambda: V.modulo((-C("o_totalprice")).cast("decimal(20,2)").cast("string"), F.lit("7.9")), "CAST(-(CAST(floor(o_totalprice) AS BIGINT) % 7) AS VARCHAR)")
+_add("value_failed", "events", lambda df: df.select("event_id", V.failed(V.plus(J.at(_event_line(), "v"), F.lit("1")), J.at(_event_line(), "v")).alias("value")), "SELECT event_id, event_type = 'view' AS value FROM events")
+_add("value_truthy", "events", lambda df: A.count(df.filter(V.truthy(F.when(C("event_id") % 3 == 0, "null").when(C("event_id") % 3 == 1, "false").otherwise(C("value").cast("string"))))), "SELECT count(*) AS value FROM events WHERE event_id % 3 = 2")
+_add(
+    "value_order", "events",
+    lambda df: O.numbered(df.select("event_id", V.order_key(F.when(C("event_id") % 5 == 0, F.to_json(F.array("user_id"))).when(C("event_id") % 5 == 1, "null").when(C("event_id") % 5 == 2, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(C("event_id") % 5 == 3, "true").otherwise(C("user_id").cast("string"))).alias("k")), ["k", "event_id"], "n").select("event_id", C("n").cast("bigint").alias("n")),
+    "SELECT event_id, row_number() OVER (ORDER BY CASE event_id % 5 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 2 THEN 3 ELSE 4 END, "
+    "CASE WHEN event_id % 5 IN (0, 4) THEN user_id END, CASE WHEN event_id % 5 = 2 THEN event_type END, event_id) AS n FROM events",
+)
+_map("value_entries", "nation", "n_nationkey", lambda: V.to_entries(F.to_json(F.struct(C("n_name").alias("n"), C("n_regionkey").alias("r")))), "'[{\"key\":\"n\",\"value\":\"' || n_name || '\"},{\"key\":\"r\",\"value\":' || n_regionkey || '}]'")
+_map("value_mapped", "orders", "o_orderkey", lambda: V.mapped(F.to_json(F.array("o_orderkey", "o_custkey")), lambda e: V.times(e, F.lit("2"))), "'[' || o_orderkey * 2 || ',' || o_custkey * 2 || ']'")
+_add("lines_numbered", "documents", lambda df: O.numbered(R.split(df, "text", "\n", ["doc_id"]), ["doc_id", "sub"], "n").select("doc_id", "sub", C("n").cast("bigint").alias("n")), "SELECT doc_id, sub, row_number() OVER (ORDER BY doc_id, sub) AS n FROM (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INTEGER) AS sub FROM documents WHERE text IS NOT NULL)")
+_add("slice_by_name", "customer", lambda df: O.slice_rows(df.select("c_mktsegment", "c_custkey"), ["c_mktsegment", "c_custkey"], 20, 90), "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment, c_custkey LIMIT 71 OFFSET 19")
+
 # ---------------------------------------------------------------- formats, HTML, fuzzy search, streams
 
 
@@ -233,5 +282,5 @@ _map("json_add", "lineitem", "l_orderkey", lambda: J.array_add(F.to_json(F.array
 _add("json_flatten", "nation", lambda df: R.explode_to(df.select("n_nationkey", F.concat(F.lit("["), C("n_nationkey").cast("string"), F.lit(",[[7],\"x\"]]")).alias("v")), J.leaves("v"), keep=["n_nationkey"]), "SELECT n_nationkey, CAST(unnest([0, 1, 2]) AS INTEGER) AS sub, unnest([CAST(n_nationkey AS VARCHAR), '7', '\"x\"']) AS value FROM nation")
 _add("facet", "events", lambda df: A.facet(df, "user_id", ["event_id"]), "SELECT CAST(user_id AS VARCHAR) AS key FROM events GROUP BY user_id ORDER BY min(event_id) LIMIT 32")
 _add("sparkline", "events", lambda df: A.sparkline(df, "value", ["event_id"], 60), None)
-_add("sort_numeric", "part", lambda df: O.sort_lines(df.select("p_partkey", F.concat(C("p_size").cast("string"), F.lit(" "), C("p_name")).alias("line")), "line", ["p_partkey"], numeric=True, reverse=True), "SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || p_name AS line FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 50")
+_add("sort_numeric", "part", lambda df: O.sort_lines(df.select("p_partkey", F.concat(C("p_size").cast("string"), F.lit(" "), C("p_name")).alias("line")), "line", ["p_partkey"], numeric=True, reverse=True), "SELECT p_partkey, CAST(p_size AS VARCHAR) || ' ' || p_name AS line FROM part ORDER BY p_size DESC, p_partkey DESC")
 _add("html_outer", "pages", lambda df: H.select(df, "page_id", "html", "nav li a", outer=True).select("page_id", "sub", "value"), "SELECT page_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS sub, unnest(x) AS value FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a .*?</a>') AS x FROM pages)")

@@ -22,9 +22,9 @@ def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataF
     return df.select(F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("k")).alias("ord"), "value")
 
 
-def csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """Records of strings with the first line as header; quotes may span lines, unquoted cells are trimmed."""
-    return spark.read.csv(path, sep=separator, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
+def csv(spark: SparkSession, path: str, separator: str = ",", multiline: bool = True) -> DataFrame:
+    """Records of strings with the first line as header; unquoted cells are trimmed. Quotes may span lines where ``multiline``, at a task for each file; else large files are split."""
+    return spark.read.csv(path, sep=separator, header=True, multiLine=multiline, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
 
 
 def csv_lines(df: DataFrame, header: list[str], separator: str = ",", column: str = "value") -> DataFrame:

@@ -6,28 +6,29 @@ Parquet under a checkpoint, so a restarted query goes on where it stopped and ea
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.operators.stored import scratch_path
+
 
 def shared_folder(spark: SparkSession) -> str:
-    import tempfile
+    return scratch_path(spark, "stream")
+
 
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weirflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
+def escaped(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 4) -> DataFrame:
     """The files of a Parquet table as a stream."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(path[:-1] + "[t]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(escaped(path[:-1]) + "[t]")
 
 
 def run_append(stream: DataFrame, verbs: Callable[[DataFrame], DataFrame]) -> DataFrame:
