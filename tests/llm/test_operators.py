@@ -264,6 +264,7 @@ def test_ids_are_the_tokenizers(monkeypatch):
     texts = ["a<|endoftext|>b", "<|startoftext|> one two", "<|EndOfText|> x", "end <|endoftext|>", "<|endoftext |>", "İ <|endoftext|>", *(t or "" for t in EDGES)]
     texts += ["it's he'll 'tis THE Don'T. U.S.A., (a)b) end### a***. x'. y',", "ΣΑΣ É É́ e ́x", "a b cd 10 0 0. a0 b00. 007,", "日本語。テスト、 1,000.50 a1. ...?! é. ñ,", "aaaa.... b.,;:!?#* c______ _d"]
     r = random.Random(4)
+    texts += [" ".join("".join(r.choice("etaoinéßÿþð") for _ in range(r.randint(1, 14))) for _ in range(60)) for _ in range(40)]
     texts += ["".join(r.choice("aB é.,'0 9#<|>\t\ń ßΣ*-") for _ in range(r.randint(1, 60))) for _ in range(1500)]
     reference = Tokenizer.from_file(packing.tokenizer_path())
     expected = [[*reference.encode(t, add_special_tokens=False).ids, 1] for t in texts]

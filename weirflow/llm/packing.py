@@ -18,6 +18,7 @@ piece, so repeated rows get places of their own; an empty table gives no rows; f
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,11 @@ SALT_ROWS = 1_000_000
 #: Longest run of punctuation taken from a chunk's end.
 STOPS = 4
 
+#: Words that normalising leaves as they are and pre-tokenising leaves whole.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: How the byte-level alphabet shows a byte: itself where that is a visible Latin-1 character, else one from U+0100 on.
+_VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.ones(256, bool)
@@ -81,9 +87,14 @@ class ChunkTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def tokenise(self, chunks: list[str]) -> list[np.ndarray]:
-        """Those without a 0 together, with zeros between them: only these give the zero's id."""
-        plain = [c for c in chunks if "0" not in c]
+        """Runs of plain small letters go to the merges at once, as bytes' letters; others without a 0 together, with zeros between them: only these give the zero's id."""
         parts: dict[str, np.ndarray] = {}
+        plain = []
+        for c in chunks:
+            if _LETTERS(c):
+                parts[c] = np.array([t.id for t in self.tokenizer.model.tokenize(c.encode().decode("latin-1").translate(_SHOWN))], np.uint32)
+            elif "0" not in c:
+                plain.append(c)
         for low in range(0, len(plain), AT_ONCE):
             some = plain[low : low + AT_ONCE]
             ids = self.whole(" 0 ".join(some))
