@@ -75,35 +75,43 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.divider = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
-        self.keep(np.empty(0, np.uint64), [], np.empty(0, np.int64))
+        self.keep(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
 
-    def keep(self, keys: np.ndarray, ids: list[np.ndarray], length: np.ndarray) -> None:
+    def keep(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         """Known chunks: ``keys`` sorted, with their ids one after the other."""
-        self.look, self.length = Lookup(keys), np.append(length, 0)
-        self.ids_of = np.concatenate([np.empty(0, np.uint32), *ids])
+        self.look, self.length, self.ids_of = Lookup(keys), np.append(length, 0), ids
         self.start = np.cumsum(self.length) - self.length
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def tokenise(self, chunks: list[str]) -> list[np.ndarray]:
-        """Runs of plain small letters go to the merges at once, as bytes' letters; others without a 0 together, with zeros between them: only these give the zero's id."""
-        parts: dict[str, np.ndarray] = {}
-        plain = []
-        for c in chunks:
-            if _LETTERS(c):
-                parts[c] = np.array([t.id for t in self.tokenizer.model.tokenize(c.encode().decode("latin-1").translate(_SHOWN))], np.uint32)
-            elif "0" not in c:
-                plain.append(c)
-        for low in range(0, len(plain), AT_ONCE):
-            some = plain[low : low + AT_ONCE]
+    def tokenise(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one after the other, and the number of each.
+
+        Runs of plain small letters go to the merges at once, as bytes' letters; others without a 0 together, with
+        zeros between them: only these give the zero's id.
+        """
+        others = [c for c in chunks if "0" not in c and not _LETTERS(c)]
+        parts: dict[str, list[int]] = {}
+        for low in range(0, len(others), AT_ONCE):
+            some = others[low : low + AT_ONCE]
             ids = self.whole(" 0 ".join(some))
             ends = np.append(np.flatnonzero(ids == self.divider), len(ids)).tolist()
-            start = 0
+            ids, start = ids.tolist(), 0
             for chunk, end in zip(some, ends, strict=True):
                 parts[chunk] = ids[start:end]
                 start = end + 1
-        return [parts[c] if c in parts else self.whole(c) for c in chunks]
+        merge, flat, lengths = self.tokenizer.model.tokenize, [], []
+        for c in chunks:
+            if c in parts:
+                found = parts[c]
+            elif "0" in c:
+                found = self.whole(c).tolist()
+            else:
+                found = [t.id for t in merge(c if c.isascii() else c.encode().decode("latin-1").translate(_SHOWN))]
+            flat += found
+            lengths.append(len(found))
+        return np.array(flat, np.uint32), np.array(lengths, np.int64)
 
     def taken(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of known chunks ``ids`` stand, one after the other, and the chunk each belongs to."""
@@ -115,16 +123,13 @@ class ChunkTokenizer:
         known = np.arange(len(self.look.keys) - 1)
         if len(known) + len(keys) > CACHE:
             known = np.unique(used)
-        ids = self.tokenise(chunks)
-        start, data = np.append(self.start[known], 0)[:-1], self.ids_of
-        all_keys = np.concatenate([self.look.keys[known], keys])
-        lengths = np.concatenate([self.length[known], np.fromiter(map(len, ids), np.int64, len(ids))])
-        more = np.concatenate([np.empty(0, np.uint32), *ids])
-        starts = np.concatenate([start, len(data) + np.cumsum(lengths[len(known) :]) - lengths[len(known) :]])
+        more, new = self.tokenise(chunks)
+        all_keys, lengths = np.concatenate([self.look.keys[known], keys]), np.concatenate([self.length[known], new])
+        starts, data = np.concatenate([self.start[known], len(self.ids_of) + np.cumsum(new) - new]), self.ids_of
         order = np.argsort(all_keys)
         lengths, starts = lengths[order], starts[order]
         at = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-        self.keep(all_keys[order], [np.concatenate([data, more])[at]], lengths)
+        self.keep(all_keys[order], np.concatenate([data, more])[at], lengths)
 
     def odd(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts to tokenise whole: with combining marks, controls between space and text, letters lower-cased by context, or what may be a special token."""
