@@ -39,13 +39,19 @@ def digest(*columns) -> Column:
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, body) of every line that is not blank; body has its tokens, variables masked."""
-    masked = F.regexp_replace(F.regexp_replace(F.coalesce(text_col, F.lit("")), _NUMBERED, VARIABLE), f"[{_GAP}]+", " ")
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(masked, "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.trim("line").alias("body")).filter("body <> ''")
+    text = F.coalesce(text_col, F.lit(""))
+    wide = F.lit(False)
+    for gap in ("  ", "\t", "\r", "\f", "\x0b"):
+        wide = wide | text.contains(gap)
+    # most texts have single blanks only and most lines no digit: the patterns are for the others
+    text = F.when(wide, F.regexp_replace(text, f"[{_GAP}]+", " ")).otherwise(text)
+    masked = lambda line: F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NUMBERED, VARIABLE)).otherwise(line))
+    bodies = F.transform(F.split(text, "\n"), masked)  # within the array, so that each is computed one time
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(bodies).alias("line_no", "body")).filter("body <> ''")
 
 
 def tokens_in(body: str) -> Column:
-    return F.length(body) - F.length(F.translate(body, " ", "")) + 1
+    return F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit(""))) + 1
 
 
 def documents_of(rows: DataFrame, key: str) -> DataFrame:
