@@ -617,18 +617,21 @@ def edited(text, r, times):
 
 @pytest.mark.parametrize("n,threshold", [(4, Fraction(85, 100)), (5, Fraction(4, 5))])
 def test_jaccard_join(spark, monkeypatch, n, threshold):
-    for name, value in {"CLASS_2": 4, "CLASS_3": 12, "BLOCK_TOKENS": 3000}.items():
+    for name, value in {"CLASS_2": 4, "CLASS_3": 12, "BLOCK_TOKENS": 3000, "BLOCK_SETS": 8}.items():
         monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(n)
     texts = [*EDGES, "a b c", "A b c", "a b c"]
     bases = [words_of(size, size + k, 5000) for k, size in enumerate([5, 20, 55, 60, 65, 70, 75, 150, 400])]
     for base in bases:
         texts += [edited(base, r, r.randint(0, 5)) for _ in range(25)]
+    for size, most in ((700, 30), (1600, 70)):  # several groups of tokens, similarities about the threshold
+        base = words_of(size, size, 5000)
+        texts += [edited(base, r, r.randint(0, most)) for _ in range(20)]
     passage = words_of(40, 99, 5000)
     texts += [f"{words_of(30, 1000 + k, 5000)} {passage}" for k in range(40)]
     sets, expected = brute_components(texts, n, threshold)
     docs = documents(spark, texts)
-    rows = ngram_join.join_documents(docs, n, threshold, paired=60).collect()
+    rows = ngram_join.join_documents(docs, n, threshold).collect()
     assert len(rows) == len(texts)
     for x in rows:
         assert (x["n_shingles"], x["component_id"]) == (len(sets[x["doc_id"]]), expected[x["doc_id"]])
@@ -636,6 +639,29 @@ def test_jaccard_join(spark, monkeypatch, n, threshold):
     assert {x["doc_id"] for x in kept.collect()} == set(expected.values()) and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("threshold", [Fraction(85, 100), Fraction(4, 5), Fraction(1, 2)])
+def test_linked_sets_share_a_key(threshold):
+    """Every pair that may link has a key in common, whatever the classes of its tokens."""
+    levels, r = ngram_join.Levels(threshold), np.random.default_rng(5)
+    assert {1, 2, 3} == set(levels.k) and max(levels.groups[:12]) > 1
+    for size in [*range(1, 60), 90, 200, 450, 1000, 3000] * 3:
+        least = -(-size * threshold.numerator // threshold.denominator)
+        shared = int(r.integers(least, size + 1))
+        tokens = common.mix64(r.integers(1, 1 << 60, 2 * size, dtype=np.uint64))
+        a, rest = np.unique(tokens[:size]), int(shared / threshold) - size  # the other set may have so many of its own
+        b = np.unique(np.concatenate([a[r.permutation(len(a))[:shared]], tokens[size : size + int(r.integers(0, max(rest, 0) + 1))]]))
+        one = np.intersect1d(a, b)
+        if threshold.denominator * len(one) < threshold.numerator * len(np.union1d(a, b)):
+            continue
+        for low, high in ((1, 4), (2, 4), (3, 4), (2, 3)):
+            classes = r.integers(low, high, ngram_join.CELLS // 4 // 4096 or 1, dtype=np.uint8)
+            classes = np.tile(classes | classes << 2 | classes << 4 | classes << 6, 4096)
+            if not (len(a) and len(b)):
+                continue
+            owner, keys = ngram_join.index_keys([a, b], classes, levels)
+            assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size, (size, shared, low, high)
+
+
 def test_jaccard_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (8, None)], "doc_id bigint, text string")
     rows = sorted(((x["doc_id"] or -1), x["component_id"]) for x in ngram_join.join_documents(df).collect())
@@ -658,7 +684,7 @@ def test_word_hashes_follow_words():
 
 def test_components(spark):
     r = random.Random(6)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 3)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 3)] + [(2000, k) for k in range(3000, 9000)]
     found = {x["node"]: x["component"] for x in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     parent = {}
 

@@ -7,10 +7,13 @@ A document is its set of word n-grams ("tokens", as 64-bit hashes). Two link whe
    packed shards; what is counted more than once goes into a table of fixed size (``CELLS`` cells of two bits).
    Class 0 are tokens that one document has, 1 to 3 ever more frequent ones. A cell that two tokens share only makes
    a token seem more frequent than it is.
-3. Tokens are put in order by class and hash. Linked sets share at least two tokens in their prefixes of length
-   |A| - ceil(t |A|) + 2 (one, when a set has one token): either one that is not frequent, and single such tokens are
-   indexed, or two frequent ones, and pairs of frequent tokens are indexed. Sets above ``PAIRED`` tokens, with more
-   pairs than text, index their frequent tokens singly; sets within a factor of the threshold of that do both.
+3. Tokens are put in order by class and hash. Linked sets of at least n tokens share at least m <= ceil(t n) tokens in
+   their prefixes of length |A| - ceil(t |A|) + m. Frequent tokens are dealt by hash over G groups; with
+   m = (k - 1) G + 1 the shared tokens are one that is not frequent, or k frequent ones of one group. So single tokens
+   of class 1 are indexed; k = 3: of a group's frequent tokens pairs with one of class 2, and triples of class 3; sets too
+   small for that take k = 2, pairs of frequent tokens, or k = 1. G grows with the size, so that keys are few for each
+   token of a prefix at every size. Linked sets must agree on k and G: these go by levels of size, each ``LEVEL``
+   times the one before, and a set takes part in its level and in that of the smallest set it may link with.
    Tokens of class 0 link nothing and are not indexed.
 4. Sets with a key in common are compared by size and by parity bitmaps (each token flips one of ``BITS`` bits), which
    bound the size of their difference from below, so no link is lost. A group of sets with one key, cut in blocks of
@@ -43,7 +46,8 @@ from weirflow.llm.components import connected_components
 CELLS = 1 << 26
 #: Documents from which a token is of class 2, and of class 3: these are the frequent ones.
 CLASS_2, CLASS_3 = 64, 1024
-PAIRED = 400
+#: The step between levels of size, and about how many tokens of a prefix share a group.
+LEVEL, GROUP = 1.5, 4
 BITS = 512
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 400_000
@@ -137,27 +141,103 @@ def class_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- index keys
 
 
-def index_keys(tokens: np.ndarray, classes: np.ndarray, threshold: Fraction, paired: int = PAIRED) -> np.ndarray:
-    """The index keys of a set: single tokens, and pairs of frequent ones."""
-    size = len(tokens)
-    if not size:
-        return np.empty(0, np.uint64)
-    width = min(size, size - math.ceil(threshold * size) + 2)
-    level = class_of(tokens, classes)
-    first = np.lexsort((tokens, level))[:width]
-    prefix, level = tokens[first], level[first]
-    if size == 1:
-        return prefix[level > 0]
-    keys = [prefix[level == 1]]
-    frequent = np.sort(prefix[level > 1])
-    if len(frequent):
-        if size >= paired:
-            keys.append(frequent)
-        if size * threshold < paired + 1 and len(frequent) > 1:
-            i, j = np.triu_indices(len(frequent), 1)
-            with np.errstate(over="ignore"):
-                keys.append(mix64(frequent[i] * np.uint64(0x9E3779B97F4A7C15) + frequent[j]))
-    return np.concatenate(keys)
+class Levels:
+    """By level of size: the least size, k (tokens in a combination) and the number of groups."""
+
+    def __init__(self, threshold: Fraction):
+        self.threshold, step = threshold, max(1 / threshold, LEVEL)
+        low = [1]
+        while low[-1] < 1 << 40:
+            low.append(max(low[-1] + 1, math.ceil(low[-1] * step)))
+        self.low = np.array(low, np.int64)
+        self.groups, self.k = [], []
+        for n in low:
+            shared, groups = math.ceil(threshold * n), max(1, int((1 - threshold) * n / GROUP))
+            k = next(k for k in (3, 2, 1) if (k - 1) * groups + 1 <= shared or k == 1)
+            self.groups.append(groups)
+            self.k.append(k)
+
+    def of(self, size: int) -> list[int]:
+        """The levels in which a set takes part."""
+        return sorted({int(np.searchsorted(self.low, n, "right")) - 1 for n in (size, math.ceil(self.threshold * size))})
+
+
+def combinations(group: np.ndarray, token: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places of the first tokens, and hashes, of all k tokens of one group, for k of 2 or 3; rows are sorted by group and token.
+
+    Pairs of tokens that both are marked in ``skip`` are left out.
+    """
+    at, keys = [], []
+    p = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for d in range(1, len(group)):
+            i = np.flatnonzero(group[d:] == group[:-d])
+            if not len(i):
+                break
+            if skip is not None:
+                i = i[~(skip[i] & skip[i + d])]
+            two = mix64(token[i] * p + token[i + d])
+            if k == 2:
+                at.append(i)
+                keys.append(two)
+                continue
+            e = d + 1
+            while True:
+                more = i + e < len(group)
+                i, two = i[more], two[more]
+                more = group[i + e] == group[i]
+                i, two = i[more], two[more]
+                if not len(i):
+                    break
+                at.append(i)
+                keys.append(mix64(two * p + token[i + e]))
+                e += 1
+    return at, keys
+
+
+def index_keys(sets: list[np.ndarray], classes: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of the index keys of some sets, sorted by set."""
+    owners, keys, frequent = [], [], []
+    for number, tokens in enumerate(sets):
+        if not len(tokens):
+            continue
+        order = level_of = None
+        for level in levels.of(len(tokens)):
+            k, groups = levels.k[level], levels.groups[level]
+            if order is None:
+                level_of = class_of(tokens, classes)
+                order = np.lexsort((tokens, level_of))
+            width = min(len(tokens), len(tokens) - math.ceil(levels.threshold * len(tokens)) + (k - 1) * groups + 1)
+            prefix = tokens[order[:width]]
+            of = level_of[order[:width]]
+            single = prefix[of == 1] if k > 1 else prefix[of > 0]
+            owners.append(np.full(len(single), number))
+            keys.append(single)
+            if k > 1 and (of > 1).sum() > 1:
+                token = prefix[of > 1]
+                salt = np.uint64(2 * level + 1) * np.uint64(0xD6E8FEB86659FD93 >> 8)
+                group = (mix64(token ^ salt) % np.uint64(groups)).astype(np.int64)
+                frequent.append((np.full(len(token), number), np.full(len(token), level), group, token, of[of > 1] if k == 3 else np.full(len(token), 2, of.dtype)))
+    if frequent:
+        number, level, group, token, of = (np.concatenate(x) for x in zip(*frequent, strict=True))
+        order = np.lexsort((token, group, level, number))
+        number, level, group, token, of = (x[order] for x in (number, level, group, token, of))
+        own = np.cumsum(np.append(0, (np.diff(number) != 0) | (np.diff(level) != 0) | (np.diff(group) != 0)))
+        rare = np.flatnonzero(of == 2)
+        both, three = np.flatnonzero(np.isin(own, own[rare])), np.flatnonzero(of == 3)
+        for chosen, k, skip in ((both, 2, of[both] == 3), (three, 3, None)):
+            for at, key in zip(*combinations(own[chosen], token[chosen], k, skip), strict=True):
+                first = chosen[at]
+                owners.append(number[first])
+                keys.append(mix64(key ^ level[first].astype(np.uint64)))
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    owner, key = np.concatenate(owners).astype(np.int64), np.concatenate(keys)
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    return owner[new], key[new]
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -166,24 +246,21 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def index(docs: DataFrame, words: int, classes: Broadcast, threshold: Fraction, paired: int = PAIRED) -> DataFrame:
-    """(doc_id, text, bits, keys) of the documents that have keys."""
+def index(docs: DataFrame, words: int, classes: Broadcast, threshold: Fraction) -> DataFrame:
+    """(doc_id, text, n, bits, keys) of the documents that have keys."""
+    levels = Levels(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                rows = []
-                for k, text in enumerate(part.column(1)):
-                    tokens = shingle_set(text.as_py(), words)
-                    keys = index_keys(tokens, classes.value, threshold, paired)
-                    if len(keys):
-                        rows.append((k, len(tokens), bitmap(tokens), keys))
-                kept = part.take(pa.array([r[0] for r in rows], pa.int64()))
-                ends = pa.array(np.cumsum([0, *[len(r[3]) for r in rows]]), pa.int32())
-                flat = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.uint64)
-                columns = [*kept.columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n", "bits", "keys"])
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                sets = [shingle_set(text.as_py(), words) for text in part.column(1)]
+                owner, keys = index_keys(sets, classes.value, levels)
+                rows, count = np.unique(owner, return_counts=True)
+                kept = part.take(pa.array(rows))
+                columns = [*kept.columns, pa.array([len(sets[k]) for k in rows], pa.int64()), pa.array([bitmap(sets[k]) for k in rows], pa.binary())]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "text", "n", "bits", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string, n bigint, bits binary, keys array<bigint>")
 
@@ -308,7 +385,7 @@ def verified_links(placed: DataFrame, keyed: DataFrame, words: int, threshold: F
     return materialize(forests(tasks, ["text"], links(words, threshold)), "links")
 
 
-def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), paired: int = PAIRED) -> DataFrame:
+def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     shards = 1 << max(4, (2 * docs.rdd.getNumPartitions() - 1).bit_length())  # so that a shard has whole cells
     table = token_table(docs, words, shards)
@@ -320,7 +397,7 @@ def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fracti
     rows = rows.withColumn("set", F.when(F.col("n") > 0, key))
     sets = materialize(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "sets")
     sent = docs.sparkSession.sparkContext.broadcast(classes)
-    keyed = index(docs, words, sent, threshold, paired).join(sets.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    keyed = index(docs, words, sent, threshold).join(sets.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     keyed = materialize(keyed, "keyed")
     sent.destroy()
     found = verified_links(canopies(keyed, threshold), keyed, words, threshold)
