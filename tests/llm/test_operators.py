@@ -157,6 +157,14 @@ def brute_licenses(text):
         else:
             k += 1
     units += [("paragraph", s, n, "\n".join(lines[s : s + n])) for s, n in paragraphs if n > 1]
+    every = set().union(*[licenses.bigrams(licenses.normalise(t)) for t in licenses.TEMPLATES.values()])
+    bodies = ["\n".join(lines[s : s + n]) for s, n in paragraphs]
+    hit = [bool(licenses.bigrams(licenses.normalise(b)) & every) for b in bodies]
+    for i in range(len(bodies)):
+        for j in range(i + 1, len(bodies)):
+            whole = "\n".join(bodies[i : j + 1])
+            if hit[i] and hit[j] and j - i + 1 < len(bodies) and len(licenses.normalise(whole)) <= licenses.window_words(licenses.TEMPLATES, (4, 5)):
+                units.append(("window", paragraphs[i][0], sum(paragraphs[j]) - paragraphs[i][0], whole))
     units += [("text", 0, len(lines), text)] * (len(paragraphs) > 1)
     out = set()
     for unit, first, n, body in units:
@@ -177,12 +185,16 @@ def test_licenses_against_all_templates(spark):
             kept = [w for w in words if r.random() >= drop]
             texts.append("intro\n\n" + "\n".join(" ".join(kept[i : i + 9]) for i in range(0, len(kept), 9)))
             texts.append("some words. _" + " ".join(kept) + "\nmore")
+            thirds = [" ".join(kept[k * len(kept) // 3 : (k + 1) * len(kept) // 3]) for k in range(3)]
+            texts.append("\n\n".join([words_of(120, 1), words_of(9, 2), *thirds, "int main() { return 0; }", words_of(200, 3)]))
     found = defaultdict(set)
     for row in licenses.scan_licenses(documents(spark, texts)).collect():
         found[row["doc_id"]].add(tuple(row)[1:8])
     for i, t in enumerate(texts):
         assert found[i] == brute_licenses(t), t
     assert any(found.values()) and licenses.scan_licenses(empty(spark)).count() == 0
+    mit = {i for i, t in enumerate(texts) if t and "int main" in t and any(m[0] == "window" and m[3] == "MIT" for m in found[i])}
+    assert len(mit) >= 3  # a licence of three paragraphs within a larger text
 
 
 # ---------------------------------------------------------------- 4

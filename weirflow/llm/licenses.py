@@ -1,11 +1,14 @@
 """License scans (operator 3): texts against licence templates by Dice coefficient over word bigrams.
 
-A text is scanned in units: its lines, its paragraphs (runs of non-blank lines, where longer than a line) and the
-whole of it (where it has more than one paragraph). A unit is normalised to the words ``[0-9a-z]+`` after A-Z are
+A text is scanned in units: its lines, its paragraphs (runs of non-blank lines, where longer than a line), windows of
+several paragraphs one after the other, and the whole of it (where it has more than one paragraph). A window has at
+most ``WINDOW_WORDS`` words, as many as the size bound allows the longest template, its first and last paragraph share
+a bigram with a template, and it is not the whole text. A notice within a longer line is in no unit of its own. A unit is normalised to the words ``[0-9a-z]+`` after A-Z are
 lower-cased, and its set of word bigrams is set against each template's: 2 |A and B| / (|A| + |B|) >= ``THRESHOLD``.
 With threshold t a pair can only match when t / (2 - t) <= |A| / |B| <= (2 - t) / t, which leaves few templates for a
 unit, and none for a unit that shares no bigram with one; both tests are exact. Templates are a fixed list, so a unit's
-work is bounded and each row is scanned where it lies, without a shuffle.
+work is bounded and each row is scanned where it lies, without a shuffle. Of windows only those are set against the
+templates in which bigrams of templates, counted by paragraph, are enough for a match.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; a unit that matches several
 templates gives a row for each; repeated rows give repeated results; further columns are ignored.
@@ -83,6 +86,12 @@ def bigrams(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False))
 
 
+def window_words(templates: dict[str, str], threshold: tuple[int, int]) -> int:
+    """Words of the longest template, times the size bound."""
+    top, bottom = threshold
+    return max((len(normalise(t)) for t in templates.values()), default=0) * (2 * bottom - top) // top
+
+
 class Scanner:
     """Templates by size, and their first words as a quick test that is exact: a shared bigram has one."""
 
@@ -91,6 +100,7 @@ class Scanner:
         self.templates = sorted(((len(b), name, b) for name, text in templates.items() if (b := bigrams(normalise(text)))), key=lambda x: x[:2])
         self.least = min((n for n, _, _ in self.templates), default=1) * self.top / (2 * self.bottom - self.top)
         self.pairs = frozenset().union(*[b for _, _, b in self.templates])
+        self.window_words = window_words(templates, threshold)
         words = sorted({first for first, _ in self.pairs})
         self.any = re.compile(r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(words) + r")[^0-9A-Za-z]", re.ASCII).search if words else lambda _: None
 
@@ -110,6 +120,20 @@ class Scanner:
                     out.append((name, shared, n, size))
         return out
 
+    def windows(self, paragraphs: list[list[str]]) -> Iterator[tuple[int, int, list[str]]]:
+        """(first, last, words) of the windows over paragraphs, given by their words, that may match."""
+        found = [bigrams(words) for words in paragraphs]
+        hits = [len(b & self.pairs) for b in found]
+        marked = [k for k, n in enumerate(hits) if n]
+        for i in marked:
+            words, sum_hits, largest = len(paragraphs[i]), hits[i], len(found[i])
+            for j in range(i + 1, len(paragraphs)):
+                words, sum_hits, largest = words + len(paragraphs[j]), sum_hits + hits[j] + 1, max(largest, len(found[j]))
+                if words > self.window_words:
+                    break
+                if hits[j] and j - i + 1 < len(paragraphs) and 2 * self.bottom * sum_hits >= self.top * (largest + self.templates[0][0]):
+                    yield i, j, [w for p in paragraphs[i : j + 1] for w in p]
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, str, int, int, int]]:
         """(unit, first line, lines, template, shared, unit size, template size) of every match in a text."""
         if not text or not self.any(text + " "):
@@ -127,6 +151,11 @@ class Scanner:
         for start, n in paragraphs:
             if n > 1 and any(words[start : start + n]):
                 out += [("paragraph", start, n, *m) for m in self.matches(normalise("\n".join(lines[start : start + n])))]
+        if len(paragraphs) > 2:
+            each = [normalise("\n".join(lines[start : start + n])) for start, n in paragraphs]
+            for i, j, unit in self.windows(each):
+                first, last = paragraphs[i][0], sum(paragraphs[j])
+                out += [("window", first, last - first, *m) for m in self.matches(unit)]
         if len(paragraphs) > 1:
             out += [("text", 0, len(lines), *m) for m in self.matches(normalise(text))]
         return out
@@ -177,8 +206,21 @@ marked AS (
          sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM numbered),
 paragraphs AS (
   SELECT doc_id, min(k) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY k) AS body FROM marked WHERE filled GROUP BY doc_id, gap),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS p, count(*) OVER (PARTITION BY doc_id) AS np, {_FIND.format('body')} AS w FROM paragraphs),
+placed AS (
+  SELECT doc_id, first_line, n_lines, body, p, np, len(w) AS own, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY p) AS so_far,
+         list_has_any({_PAIRS}, (SELECT flatten(list(b)) FROM templates)) AS hit FROM worded),
+spans AS (
+  SELECT a.doc_id, a.p AS p1, b.p AS p2, a.first_line, b.first_line + b.n_lines - a.first_line AS n_lines
+  FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.p < b.p AND b.so_far - a.so_far + a.own <= {window_words(TEMPLATES, THRESHOLD)}
+  WHERE a.hit AND b.hit AND b.p - a.p + 1 < a.np),
+windows AS (
+  SELECT s.doc_id, s.first_line, s.n_lines, string_agg(q.body, chr(10) ORDER BY q.p) AS body
+  FROM spans s JOIN placed q ON q.doc_id = s.doc_id AND q.p BETWEEN s.p1 AND s.p2 GROUP BY s.doc_id, s.p1, s.p2, s.first_line, s.n_lines),
 units AS (
   SELECT doc_id, 'line' AS unit, k AS first_line, 1 AS n_lines, line AS body FROM numbered
+  UNION ALL SELECT doc_id, 'window', first_line, n_lines, body FROM windows
   UNION ALL SELECT doc_id, 'paragraph', first_line, n_lines, body FROM paragraphs WHERE n_lines > 1
   UNION ALL SELECT doc_id, 'text', 0, len(ls), text FROM lines WHERE doc_id IN (SELECT doc_id FROM paragraphs GROUP BY doc_id HAVING count(*) > 1)),
 sets AS (
