@@ -2,7 +2,8 @@
 
 The index is a Parquet table bucketed and sorted by SHA-256 digest. A batch of documents is reduced to one row per
 digest (partial sums first, so a text with a third of all rows costs one row per task), set against the index by a
-sort-merge anti-join in which the index side is neither shuffled nor sorted again, and what is new is appended.
+sort-merge anti-join in which the index side is not shuffled (Spark sorts a bucket again, which is cheap where it is
+one sorted file), and what is new is appended. ``compacted`` makes one file for each bucket again after many appends.
 Only DataFrame operations are used.
 
 Defined cases: a null text counts as empty; rows are told apart by their id, so repeated rows (same id, same text)
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import join_weighted, materialize, read_table, scratch_path
 
-BUCKETS = 64
+#: Rows of an index for each of its buckets, and the fewest buckets.
+BUCKET_ROWS, FEWEST = 4_000_000, 16
+
+
+def buckets_for(rows: int) -> int:
+    return max(FEWEST, -(-rows // BUCKET_ROWS))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,18 +41,28 @@ def groups(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """The table of all digests seen so far, in ``buckets`` buckets sorted by digest, at ``path``.
 
-    The number of buckets is fixed when the index is made; take about the bytes of the final index over 256 MB.
-    An index that another session wrote is opened by giving its path: its files name the buckets.
+    The number of buckets is fixed when the index is made; ``buckets_for`` the rows of the final index is a good one.
+    An index that another session wrote is opened by giving its path: its files name the buckets. The catalog knows
+    the table under a name of its own until ``close``, which leaves the files where they are.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = FEWEST):
+        self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digest_index_" + uuid.uuid4().hex
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def compacted(self, path: str, buckets: int | None = None) -> DigestIndex:
+        """A copy at another path with one file for each bucket, of which there may be another number."""
+        new = DigestIndex(self.spark, path, buckets or self.buckets)
+        new.append(self.rows())
+        return new
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -59,9 +75,9 @@ class DigestIndex:
         columns = batch.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
         columns.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
-    def absorb(self, rows: DataFrame) -> DataFrame:
-        """Append the new digests of ``rows`` (doc_id, digest); returns the batch's new groups."""
-        new = materialize(self.unseen(groups(rows)), "new-digests")
+    def absorb(self, batch: DataFrame) -> DataFrame:
+        """Append the new ones of a batch's ``groups``; returns these."""
+        new = materialize(self.unseen(batch), "new-digests")
         self.append(new)
         return new
 
@@ -73,11 +89,17 @@ def verdicts(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "d
     not kept, and keep_id and group_size are those of the batch that brought the digest.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, scratch_path(spark, "digest-index"))
     rows = materialize(digests(docs, id_col, text_col), "digests")
-    new = index.absorb(rows).select("digest", F.lit(True).alias("new"))
-    known = index.rows().join(new.hint("merge"), "digest", "left")
-    return join_weighted(rows, known, "digest", "group_size").select(
+    own = None if index else DigestIndex(spark, scratch_path(spark, "digest-index"), buckets_for(rows.count()))
+    batch = materialize(groups(rows), "digest-groups")
+    new = (index or own).absorb(batch)
+    uses = batch.select("digest", F.col("group_size").alias("uses"))
+    if own:  # all is new
+        known = new.select("digest", "keep_id", "group_size", F.col("group_size").alias("uses"), F.lit(True).alias("new"))
+        own.close()
+    else:
+        known = uses.hint("merge").join(index.rows(), "digest").join(new.select("digest", F.lit(True).alias("new")).hint("merge"), "digest", "left")
+    return join_weighted(rows, known, "digest", "uses").select(
         "doc_id",
         "keep_id",
         "group_size",
