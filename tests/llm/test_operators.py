@@ -89,8 +89,22 @@ def test_reliabilities_find_the_bad_labeler():
     _, tables, _ = pii.reliabilities(counts)
     right = [tables[j][1][2] / (tables[j][1][0] + tables[j][1][2]) for j in (0, 3, 5)]
     assert right[0] > 0.85 and right[2] > 0.8 and right[1] < 0.65
-    model = pii.train(counts)
-    assert model["ssn", "+00+0+"] > 0.9 and model["ssn", "-00+0-"] < 0.2 and pii.train(Counter()) == {}
+    model = pii.train({(*k, "030111"): c for k, c in counts.items()})
+    assert model.probability("ssn", "+00+0+", "030111") > 0.9 and model.probability("ssn", "-00+0-", "030111") < 0.2
+    assert pii.train(Counter()).probability("ssn", "+00+0+", "030111") == 0
+
+
+def test_equal_votes_and_different_verdicts(monkeypatch):
+    good, bad = pii.cells("password=abcdefgh12", 9, 19), pii.cells("x abcdefghijklmnopqrstuvwxyzabcdefghijklmnop1/", 2, 45)
+    soft = {("secret", "+00000"): 0.95, ("secret", "-00000"): 0.05, ("secret", "000000"): 0.5}
+    monkeypatch.setattr(pii, "reliabilities", lambda counts: (soft, None, None))
+    model = pii.train({("secret", "+00000", good): 1000, ("secret", "-00000", bad): 1000, ("secret", "000000", good): 20, ("secret", "000000", bad): 20})
+    assert model.probability("secret", "000000", good) > 0.51 and model.probability("secret", "000000", bad) < 0.49
+
+
+def test_long_secrets(spark):
+    texts = [f"token {'a1B2c3D4' * 20} end", f"key {'Zy9x8W7v' * 600}"]
+    assert all("secret" in r["spans"] for r in pii.find(documents(spark, texts)).collect())
 
 
 def test_redact(spark):
@@ -229,6 +243,12 @@ def test_index_persists(spark):
     assert rows == {0: False, 1: False, 2: True} and again.rows().count() == 3
     plan = again.unseen(exact_dedup.groups(exact_dedup.digests(documents(spark, ["a"]))))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan
+    # hot in the batch alone: many rows of a digest that the index has seen once
+    rows = exact_dedup.verdicts(documents(spark, ["c"] * 3000 + ["d"]), again).collect()
+    assert [r["doc_id"] for r in rows if r["kept"]] == [3000] and len(rows) == 3001
+    small = again.compacted(common.scratch_path(spark, "compacted"), 3)
+    assert sorted(map(tuple, small.rows().collect())) == sorted(map(tuple, again.rows().collect())) and len(small.rows().inputFiles()) <= 3
+    again.close(), small.close()
 
 
 # ---------------------------------------------------------------- 5

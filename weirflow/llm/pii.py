@@ -2,11 +2,13 @@
 
 Four base patterns (email, ip, card, phone) always count. Beside them, wider patterns propose candidates of further
 kinds. Regex, gazetteer, checksum, context and shape labelers vote on every candidate: 1 for, -1 against, 0 abstaining.
-Votes are counted by kind and pattern over the whole corpus; there are at most 3 ** 6 patterns of a kind, whatever its
-size. Expectation-maximisation on these counts estimates each labeler's reliability and each pattern's posterior
+Votes are counted by kind, pattern and the cells of the span's own features (length, digits, capitals, variety,
+characters before and after) over the whole corpus; there are at most 3 ** 6 patterns of a kind and 5625 cells, whatever
+its size. Expectation-maximisation on these counts estimates each labeler's reliability and each pattern's posterior
 (patterns of a proposed kind borrow strength from the base kinds: the reliabilities are shared). Last, a logistic span
-classifier is trained on kinds and votes with the posteriors as soft targets; candidates that it finds likelier than
-not become spans, unless they overlap a base span or an earlier, longer one.
+classifier is trained on kinds, votes and cells with the posteriors as soft targets, so that spans with equal votes are
+told apart by what they look like; candidates that it finds likelier than not become spans, unless they overlap a base
+span or an earlier, longer one.
 
 Every text is read once: its base spans and its candidates' votes are written to a small table, which gives both the
 counts and, with the classifier, the spans.
@@ -37,9 +39,19 @@ KINDS = BASE + WIDER
 LABELERS = ("regex", "gazetteer", "checksum", "context", "against", "shape")
 
 # Gazetteers and context words.
-TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu at ch it nl mx ar co us".split())
-CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91 351 352 353 358".split())
-IBAN_COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz io ai app dev co me tv name pro ae ar at au be bg br ca ch cl cn cz de dk ee eg es eu fi fr gr hk hr hu id ie il in ir "
+    "is it jp ke kr lt lu lv ma mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tr tw ua uk us ve vn za".split()
+)
+CALLING_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 "
+    "220 221 225 233 234 237 250 251 254 255 256 260 263 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 "
+    "421 423 502 503 504 505 506 507 591 593 595 598 852 853 855 880 886 961 962 963 964 965 966 967 968 971 972 973 974 994 995 996 998".split()
+)
+IBAN_COUNTRIES = frozenset(
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK "
+    "MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+)
 CONTEXT = {
     "email": "mail email e-mail contact write correo courriel",
     "email_spelled": "mail email e-mail contact write correo courriel",
@@ -61,9 +73,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.,$€-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[-. /])[0-9]{3,4}[-. ][0-9]{3,4}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{32,128})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{32,})(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _WORDS = re.compile(r"[^\W\d_]+(?:[-_][^\W\d_]+)*")
+#: Characters before a span, and twice those after, in which context words count: a feature of the labelers, as the parts of an address have the lengths that the standards allow.
 REACH = 40
 
 
@@ -214,24 +227,62 @@ def reliabilities(counts: dict[tuple[str, str], int], rounds: int = 60) -> tuple
     return {k: float(p) for k, p in zip(keys, post[:, 1], strict=True)}, tables, {k: float(prior[i]) for i, k in enumerate(KINDS)}
 
 
-def features(kind: str, vote: str) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-    x[0] = 1
-    x[1 + KINDS.index(kind)] = 1
-    for j, c in enumerate(vote):
-        if c != "0":
-            x[1 + len(KINDS) + 2 * j + (c == "+")] = 1
-    return x
+#: Values of each of a span's cells.
+CELLS = (5, 5, 3, 3, 5, 5)
 
 
-def train(counts: dict[tuple[str, str], int], rounds: int = 50, ridge: float = 1e-2) -> dict[tuple[str, str], float]:
-    """The span classifier's probability for every pattern: logistic regression on soft targets, by Newton's steps."""
-    soft, _, _ = reliabilities(counts)
+def cells(text: str, start: int, end: int) -> str:
+    """A digit for each: length, share of digits, of capitals among letters, of different characters, and what stands before and after."""
+    span = text[start:end]
+    n, digits, upper, letters = end - start, sum(c.isdecimal() for c in span), sum(c.isupper() for c in span), sum(c.isalpha() for c in span)
+    beside = lambda c: 0 if not c else 1 if c.isspace() else 4 if c.isalnum() else 2 if c in ":=.,;!?" else 3
+    share = 4 if digits == n else 0 if not digits else 1 + (3 * digits > n) + (3 * digits > 2 * n)
+    found = (bisect_left((12, 17, 25, 41), n + 1), share, 0 if not upper else 1 + (upper == letters), min(2, 3 * len(set(span)) // max(n, 1)), beside(text[start - 1 : start] if start else ""), beside(text[end : end + 1]))
+    return "".join(map(str, found))
+
+
+def features(kind: str, vote: str, cell: str) -> np.ndarray:
+    """Bias, kind, votes, cells, and the first two and the fifth cell by kind."""
+    k, at = KINDS.index(kind), [int(c) for c in cell]
+    firsts = np.cumsum([0, *CELLS])
+    blocks = [np.ones(1), np.zeros(len(KINDS)), np.zeros(2 * len(LABELERS)), np.zeros(sum(CELLS)), *(np.zeros(len(KINDS) * CELLS[j]) for j in (0, 1, 4))]
+    blocks[1][k] = 1
+    for j, c in enumerate(vote):
+        if c != "0":
+            blocks[2][2 * j + (c == "+")] = 1
+    for j, value in enumerate(at):
+        blocks[3][firsts[j] + value] = 1
+    for block, j in zip(blocks[4:], (0, 1, 4), strict=True):
+        block[k * CELLS[j] + at[j]] = 1
+    return np.concatenate(blocks)
+
+
+class Classifier:
+    """A logistic regression on the features of spans."""
+
+    def __init__(self, weights: np.ndarray | None):
+        self.weights, self.known = weights, {}
+
+    def probability(self, kind: str, vote: str, cell: str) -> float:
+        if self.weights is None:
+            return 0.0
+        key = kind, vote, cell
+        if key not in self.known:
+            self.known[key] = float(1 / (1 + np.exp(-np.clip(features(*key) @ self.weights, -30, 30))))
+        return self.known[key]
+
+
+def train(counts: dict[tuple[str, str, str], int], rounds: int = 50, ridge: float = 1e-3) -> Classifier:
+    """The span classifier, on the numbers of spans by kind, votes and cells: soft targets, Newton's steps."""
+    patterns: Counter = Counter()
+    for (kind, vote, _), c in counts.items():
+        patterns[kind, vote] += c
+    soft, _, _ = reliabilities(patterns)
     if not soft:
-        return {}
-    keys = sorted(soft)
+        return Classifier(None)
+    keys = sorted(counts)
     x = np.array([features(*k) for k in keys])
-    y = np.array([soft[k] for k in keys])
+    y = np.array([soft[k[:2]] for k in keys])
     w = np.array([counts[k] for k in keys], float)
     w /= w.sum()
     beta = np.zeros(x.shape[1])
@@ -243,20 +294,19 @@ def train(counts: dict[tuple[str, str], int], rounds: int = 50, ridge: float = 1
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-    return dict(zip(keys, p.tolist(), strict=True))
+    return Classifier(beta)
 
 
 # ---------------------------------------------------------------- Spark jobs
 
-_FOUND = "array<struct<kind:string,start:int,stop:int,votes:string>>"
-_FOUND_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.string())]))
+_FOUND = "array<struct<kind:string,start:int,stop:int,votes:string,cells:string>>"
+_FOUND_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.string()), ("cells", pa.string())]))
 
 
 def propose_spans(text: str) -> list[dict]:
     """Base spans and candidates of a text, with votes, in the order of kinds and places."""
     base = base_spans(text)
-    return [{"kind": k, "start": s, "stop": e, "votes": votes(text, k, s, e)} for k, s, e in base + candidates(text, base)]
+    return [{"kind": k, "start": s, "stop": e, "votes": votes(text, k, s, e), "cells": cells(text, s, e)} for k, s, e in base + candidates(text, base)]
 
 
 def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,18 +321,18 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return materialize(docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, found {_FOUND}"), "pii-candidates")
 
 
-def train_on(found: DataFrame) -> dict[tuple[str, str], float]:
+def train_on(found: DataFrame) -> Classifier:
     """The classifier, from all candidates of a proposed table."""
-    each = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count()
-    return train(Counter({(r["kind"], r["votes"]): r["count"] for r in each.collect()}))  # bounded: kinds * 3 ** labelers
+    each = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.cells").count()
+    return train({(r["kind"], r["votes"], r["cells"]): r["count"] for r in each.collect()})  # bounded: kinds * 3 ** labelers * cells
 
 
-def accept(found: list[dict], model: dict[tuple[str, str], float], least: float = 0.5) -> list[tuple[str, int, int]]:
+def accept(found: list[dict], model: Classifier, least: float = 0.5) -> list[tuple[str, int, int]]:
     """Base spans, and the candidates that the classifier takes and nothing overlaps, by kind and place."""
     base = [(f["kind"], f["start"], f["stop"]) for f in found if f["kind"] in BASE]
     more, last = [], 0
     for f in sorted((f for f in found if f["kind"] not in BASE), key=lambda f: (f["start"], -f["stop"], f["kind"])):
-        if f["start"] >= last and model.get((f["kind"], f["votes"]), 0.0) >= least:
+        if f["start"] >= last and model.probability(f["kind"], f["votes"], f["cells"]) >= least:
             more.append((f["kind"], f["start"], f["stop"]))
             last = f["stop"]
     return base + sorted(more, key=lambda x: (WIDER.index(x[0]), x[1]))
