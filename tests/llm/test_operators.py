@@ -554,6 +554,16 @@ def test_viterbi_is_best_by_brute_force():
 # ---------------------------------------------------------------- 8
 
 
+def test_segments_at_once_as_one_by_one():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(sentencepiece_codec.model_path()))
+    draw = random.Random(5)
+    segments = ["".join(draw.choice("abtheing▁é漢😀\x00\ud800\t") for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    assert codec.viterbi_many(segments) == [np.array(codec.viterbi(s), "<u4").tobytes() for s in segments]
+    assert codec.viterbi_many([]) == [] and codec.viterbi_many([""]) == [b""]
+    texts = ["", "the quick " * 50, "y" * 5000, "\t\n", "  a"]
+    assert [x.tolist() for x in codec.encode_all(texts)] == [x.tolist() for x in map(codec.encode, texts)]
+
+
 def test_language_id(spark):
     r = random.Random(3)
     alphabets = {"de": "enischtu", "fr": "aeluxqéo", "en": "thwyandk"}

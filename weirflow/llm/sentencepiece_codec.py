@@ -32,6 +32,10 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Segments whose ids a worker keeps, and the longest kept.
 CACHE, CACHE_LENGTH = 600_000, 64
+#: Characters of texts whose new segments are gathered at a time, and segments searched at once.
+BLOCK_CHARS, BLOCK_SEGMENTS = 1 << 20, 4096
+#: Bytes of a character by its first byte.
+_WIDTH = np.repeat([1, 2, 3, 4], [0xC0, 0x20, 0x10, 0x10])
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -131,6 +135,8 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
+        self.base, self.check, self.leaf = (np.array(part, np.int64) for part in (vocabulary.trie.base, vocabulary.trie.check, vocabulary.trie.leaf))
+        self.scores, self.byte_ids = np.array(vocabulary.scores), np.array(vocabulary.byte_ids, np.int64)
         alone = re.escape(vocabulary.split)
         self.segments = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
 
@@ -172,20 +178,108 @@ class Codec:
             n = start
         return ids[::-1]
 
+    def viterbi_many(self, segments: list[str]) -> list[bytes]:
+        """What ``viterbi`` gives for each of many short segments, all walked through the trie and searched at once."""
+        if not segments:
+            return []
+        encoded = [segment.encode("utf-8", "surrogatepass") for segment in segments]
+        raw = np.frombuffer(b"\0".join(encoded) + b"\0", np.uint8)  # a place behind each segment for its end
+        ends = np.cumsum(np.array([len(data) + 1 for data in encoded])) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        owner = np.repeat(np.arange(len(segments)), ends - begins + 1)
+
+        # pieces from every start of a character, one byte deeper each time
+        inside = (raw & 0xC0) != 0x80
+        inside[ends] = False
+        firsts = np.flatnonzero(inside)
+        widths = _WIDTH[raw]
+        alone = np.zeros(len(raw), bool)
+        start = at = firsts
+        state = np.zeros(len(firsts), np.int64)
+        found = []
+        while len(start):
+            step = self.base[state] + raw[at] + 1
+            go = (self.check[step] == state) & (at < ends[owner[start]])
+            start, at, state = start[go], at[go] + 1, step[go]
+            number = self.leaf[state]
+            hit = number >= 0
+            found.append((start[hit], at[hit], number[hit]))
+            alone[start[hit & (at == start + widths[start])]] = True
+        bare = firsts[~alone[firsts]]
+        found.append((bare, bare + widths[bare], np.full(len(bare), -1)))
+        start, end, number = (np.concatenate(part).astype(np.int64) for part in zip(*found, strict=True))
+
+        # by the place of their end in the segment, then by end, the earlier start first
+        depth = end - begins[owner[start]]
+        order = np.argsort((depth << 44) | (end << 12) | (4095 - (end - start)))
+        start, end, number, depth = start[order], end[order], number[order], depth[order]
+        score = np.where(number >= 0, self.scores[number], self.v.unknown_score)
+        group = np.flatnonzero(np.diff(end, prepend=-1))
+        sizes = np.diff(np.append(group, len(end)))
+        levels = np.append(np.flatnonzero(np.diff(depth[group], prepend=-1)), len(group))
+        best, last = np.zeros(len(raw)), np.zeros(len(raw), np.int64)
+        for low, high in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
+            heads = group[low:high]
+            rows = slice(heads[0], heads[-1] + sizes[high - 1])
+            sums = best[start[rows]] + score[rows]
+            top = np.maximum.reduceat(sums, heads - heads[0])
+            which = np.repeat(np.arange(high - low), sizes[low:high])
+            equal = np.flatnonzero(sums == top[which])
+            equal = equal[np.diff(which[equal], prepend=-1) != 0]
+            best[end[heads]], last[end[heads]] = top, equal + heads[0]
+
+        # back from the ends
+        taken = []
+        at = ends[ends > begins]
+        while len(at):
+            piece = last[at]
+            taken.append(piece)
+            at = start[piece]
+            at = at[at > begins[owner[at]]]
+        piece = np.concatenate(taken) if taken else np.empty(0, np.int64)
+        piece = piece[np.argsort(start[piece])]
+        counts = np.where(number[piece] >= 0, 1, end[piece] - start[piece])
+        ids = np.repeat(number[piece], counts)
+        offset = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+        spelled = ids < 0
+        ids[spelled] = self.byte_ids[raw[(np.repeat(start[piece], counts) + offset)[spelled]]]
+        cuts = 4 * np.concatenate([[0], np.cumsum(np.bincount(owner[start[piece]], counts, len(segments)).astype(np.int64))])
+        data, cuts = ids.astype("<u4").tobytes(), cuts.tolist()
+        return [data[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; new segments of some texts are searched together."""
+        found: list[np.ndarray] = []
+        block: list[str] = []
+        size = 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                found += self._encode_block(block)
+                block, size = [], 0
+        return found + self._encode_block(block)
+
+    def _encode_block(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self.segments((MARK + text).replace(" ", MARK)) if text else [] for text in texts]
+        new = {segment for part in parts for segment in part if segment not in self.known}
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = {segment for part in parts for segment in part}
+        short = [segment for segment in new if len(segment) <= CACHE_LENGTH]
+        for low in range(0, len(short), BLOCK_SEGMENTS):
+            block = short[low : low + BLOCK_SEGMENTS]
+            self.known.update(zip(block, self.viterbi_many(block), strict=True))
+        long = {segment: np.array(self.viterbi(segment), "<u4").tobytes() for segment in new if len(segment) > CACHE_LENGTH}
+        self.known.update(long)
+        known = self.known.__getitem__
+        found = [np.frombuffer(b"".join(map(known, part)), "<u4") for part in parts]
+        for segment in long:
+            del self.known[segment]
+        return found
+
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        known, out = self.known, []
-        for segment in self.segments((MARK + text).replace(" ", MARK)):
-            ids = known.get(segment)
-            if ids is None:
-                ids = np.array(self.viterbi(segment), "<u4").tobytes()
-                if len(segment) <= CACHE_LENGTH:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[segment] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+        return self._encode_block([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         spelled = self.v.spelled
@@ -202,7 +296,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids = [codec.encode(text or "") for text in part.column(1).to_pylist()]
+                ids = codec.encode_all([text or "" for text in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
                 columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
@@ -230,9 +324,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Checksums of what ``encode_documents`` and ``decode_documents`` give, made where the texts lie.
+    """The ids of every text, as by ``encode_documents``, and checks of what they decode to.
 
-    doc_id, n_pieces, n_bytes_pieces (byte fallback), ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip.
+    doc_id, n_pieces, n_byte_pieces (byte fallback), ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path or model_path()))
 
@@ -241,18 +335,21 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         is_byte = np.zeros(len(codec.v.scores), bool)
         is_byte[codec.v.byte_ids] = True
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids = codec.encode(text)
-                back = codec.decode(ids)
-                rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", *names])
-
-    names = ["n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "round_trip"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                rows = []
+                for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+                    back = codec.decode(ids)
+                    rows.append((len(ids), int(is_byte[ids].sum()), ids.astype(np.int32), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *names])
+
+    names = ["n_pieces", "n_byte_pieces", "ids", "ids_crc32", "decoded_sha256", "round_trip"]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.bool_())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_pieces bigint, n_byte_pieces bigint, ids array<int>, ids_crc32 bigint, decoded_sha256 string, round_trip boolean"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
