@@ -564,6 +564,51 @@ def test_segments_at_once_as_one_by_one():
     assert [x.tolist() for x in codec.encode_all(texts)] == [x.tolist() for x in map(codec.encode, texts)]
 
 
+def fused_by_hand(pages, labelled):
+    """(language, probability) of each page: the same evidence, added up by loops over pages, hosts and domains."""
+    m = language_id
+    counts = defaultdict(Counter)
+    for text, lang in labelled:
+        if text is not None and lang:
+            counts[lang].update(m.trigram_buckets(text).tolist())
+    languages = sorted(counts)
+    k = len(languages)
+    chance = {x: {b: (counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * m.BUCKETS) for b in set().union(*counts.values())} for x in languages}
+    least = {x: 0.5 / (sum(counts[x].values()) + 0.5 * m.BUCKETS) for x in languages}
+
+    def share(logs):
+        top = max(logs)
+        parts = [np.exp(x - top) for x in logs]
+        return [x / sum(parts) for x in parts]
+
+    logs, soft, host_of = {}, {}, {}
+    for page, url, code in pages:
+        host_of[page] = host = url.split("//")[1].split("/")[0] if url else ""
+        grams = m.trigram_buckets(m.html.unescape(m._HIDDEN.sub(" ", code or ""))).tolist()
+        weight = min(1.0, m.EFFECTIVE / len(grams)) if grams else 0
+        logs[page] = [weight * sum(np.log(chance[x].get(b, least[x])) for b in grams) for x in languages]
+        said = re.search("lang='([a-z]+)'", code or "")
+        for hint, right in ((said and said[1], m.DECLARED), (m.SUFFIX_LANGUAGE.get(host.rsplit(".")[-1]), m.SUFFIX)):
+            if hint in languages:
+                logs[page] = [v + np.log(right if x == hint else (1 - right) / (k - 1)) for v, x in zip(logs[page], languages, strict=True)]
+        soft[page] = share(logs[page])
+
+    def mean(of, prior):
+        return [(sum(soft[p][i] for p in of) + m.STRENGTH * prior[i]) / (len(of) + m.STRENGTH) for i in range(k)]
+
+    def domain(host):
+        return ".".join(host.split(".")[-2:])
+
+    result = {}
+    for page in logs:
+        top = mean(list(logs), [1 / k] * k)
+        middle = mean([p for p in logs if domain(host_of[p]) == domain(host_of[page])], top)
+        prior = mean([p for p in logs if p != page and host_of[p] == host_of[page]], middle)
+        post = share([a + np.log(b) for a, b in zip(logs[page], prior, strict=True)])
+        result[page] = (languages[int(np.argmax(post))], max(post))
+    return result
+
+
 def test_language_id(spark):
     r = random.Random(3)
     alphabets = {"de": "enischtu", "fr": "aeluxqéo", "en": "thwyandk"}
@@ -579,6 +624,12 @@ def test_language_id(spark):
     found = {x["page_id"]: x for x in language_id.identify(pages, labelled).collect()}
     assert len(found) == 93 and sum(found[k]["lang"] == truth[k] for k in truth) >= 88
     assert found[102]["lang"] == "fr" and found[101]["lang"] in alphabets and found[100]["lang"] == "de"
+    by_hand = fused_by_hand(rows, [(x["text"], x["lang"]) for x in labelled.collect()])
+    for page, (lang, probability) in by_hand.items():
+        assert found[page]["lang"] == lang and abs(found[page]["probability"] - probability) < 1e-4, page
+    long = pages.limit(1).select(F.lit(7).cast("bigint").alias("page_id"), "url", F.repeat("html", 20000).alias("html"))
+    twice = language_id.identify(long.union(long), labelled).collect()
+    assert [x["host_pages"] for x in twice] == [2, 2] and twice[0] == twice[1]
     assert language_id.identify(pages, labelled.filter("false")).filter("lang IS NULL").count() == 93
     assert language_id.identify(pages.filter("false"), labelled).count() == 0
 
