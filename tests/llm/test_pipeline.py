@@ -4,7 +4,7 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
-from tests.llm.test_operators import LETTERS, brute_components, edited
+from tests.llm.test_operators import EDGES, LETTERS, brute_components, edited
 
 
 def test_stages(spark, tmp_path):
@@ -34,3 +34,19 @@ def test_stages(spark, tmp_path):
     if 123 in clean:
         assert "<EMAIL>" in clean[123]["text"] and clean[123]["n_chars"] == len(clean[123]["text"])
     assert set(packed) == set(clean)
+
+
+def test_edges(spark, tmp_path):
+    """No rows, no labels, nulls in every column, repeated rows and columns whose names clash with the operators' own."""
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, key int, n int"
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    rows = [(i, t, None, None, None, "x", None, 2) for i, t in enumerate(EDGES)] + [(4, "a", None, None, None, "x", None, 2), (None, None, None, None, None, None, None, None)]
+    for name, given in (("empty", []), ("edges", rows)):
+        docs = spark.createDataFrame(given, shape)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = {x["doc_id"] for x in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()}
+        with_words = {i for i, t in enumerate(EDGES) if t and t.split()} if given else set()
+        assert found <= with_words
+        # of the two equal texts the later one stays
+        assert not given or {4, 5, 6, 7, 11} <= found and 10 not in found
