@@ -38,9 +38,9 @@ def test_stages(spark, tmp_path):
 
 def test_edges(spark, tmp_path):
     """No rows, no labels, nulls in every column, repeated rows and columns whose names clash with the operators' own."""
-    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, key int, n int"
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, key int, n int, text_sha256 string, _digest string"
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    rows = [(i, t, None, None, None, "x", None, 2) for i, t in enumerate(EDGES)] + [(4, "a", None, None, None, "x", None, 2), (None, None, None, None, None, None, None, None)]
+    rows = [(i, t, None, None, None, "x", None, 2, "y", None) for i, t in enumerate(EDGES)] + [(4, "a", None, None, None, "x", None, 2, "y", None), (None,) * 10]
     for name, given in (("empty", []), ("edges", rows)):
         docs = spark.createDataFrame(given, shape)
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")

@@ -108,18 +108,25 @@ def verdicts(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "d
     )
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as tell it from the columns of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text no row with a larger id has; of repeated rows one stays.
 
     Rows without an id go when a row with an id has their text; of the others one for each text stays.
     """
+    id_name, digest_name = (unused(docs, name) for name in ("_kept_id", "_digest"))
     rows = verdicts(docs, None, id_col, text_col)
-    kept = rows.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept_id"))
-    named = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    alone = rows.filter(F.col("keep_id").isNull()).select("text_sha256").distinct()
-    nameless = docs.filter(F.col(id_col).isNull()).withColumn("_digest", digest)
-    nameless = nameless.join(alone, F.col("_digest") == F.col("text_sha256"), "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+    kept = rows.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_name))
+    named = docs.join(kept, F.col(id_col) == F.col(id_name), "left_semi").dropDuplicates([id_col])
+    alone = rows.filter(F.col("keep_id").isNull()).select(F.col("text_sha256").alias(digest_name)).distinct()
+    nameless = docs.filter(F.col(id_col).isNull()).withColumn(digest_name, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    nameless = nameless.join(alone, digest_name, "left_semi").dropDuplicates([digest_name]).drop(digest_name)
     return named.unionByName(nameless)
 
 
