@@ -319,3 +319,15 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         stored.shared_dir(Session())
+
+
+def evaluations(spark, columns, what):
+    """How often a plan names a function: lambdas run as named, so each name costs a call for each row."""
+    df = spark.range(3).select(F.col("id").cast("string").alias("v")).select(*columns)
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_json_sums_are_computed_once(spark):
+    assert evaluations(spark, [J.array_add("v")], "parseJson") == 1
+    assert evaluations(spark, [T.fmt_num(F.col("v").cast("double"))], "regexp_extract") <= 8
+    assert values(spark, ["[1e400,1]", "[-0.5,0.5]", "[12345678.5]", "[1e15,1]", "[1e-5]", "[null,1]", " [3] x", "[true,2]"], J.array_add("v")) == ["1.7976931348623157e+308", "0", "12345678.5", "1000000000000001", "1e-05", "1", "3", "3"]

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirflow.functions.text import as_column, fmt_num
+from weirflow.functions.text import as_column, fmt_num, once
 
 
 def parsed(x: Column | str) -> Column:
@@ -31,8 +31,13 @@ def at(x: Column | str, *path: str | int, kind: str = "string") -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
+def first_char(x: Column | str) -> Column:
+    """A line's first character after JSON's white space: where the line is JSON, it tells the value's type."""
+    return F.substring(F.ltrim(as_column(x), F.lit(" \t\r\n")), 1, 1)
+
+
 def is_object(x: Column | str) -> Column:
-    return F.coalesce(F.schema_of_variant(parsed(x)).startswith("OBJECT"), F.lit(False))
+    return F.coalesce((first_char(x) == "{") & parsed(x).isNotNull(), F.lit(False))
 
 
 def keys(x: Column | str) -> Column:
@@ -44,11 +49,6 @@ def has_key(x: Column | str, key: str) -> Column:
     return F.coalesce(F.array_contains(keys(x), key), F.lit(False))
 
 
-def once(x: Column | str, use) -> Column:
-    """``use`` of a value that is computed one time, however often ``use`` names it: edits of edits stay small plans."""
-    return F.get(F.transform(F.array(as_column(x)), use), F.lit(0))
-
-
 def as_map(x: Column | str) -> Column:
     """An object's values as JSON text by key."""
     return F.when(is_object(x), F.transform_values(F.try_variant_get(parsed(x), "$", "map<string,variant>"), lambda _, v: F.to_json(v)))
@@ -140,11 +140,14 @@ def array_slice(x: Column | str, a: int | None = None, b: int | None = None) ->
 
 def array_add(x: Column | str) -> Column:
     """The sum of an array of numbers as text, else its parts joined; empty for an empty one; other lines pass."""
-    array = F.try_variant_get(parsed(x), "$", "array<variant>")
-    numbers = F.transform(array, lambda v: F.when(F.schema_of_variant(v) != "STRING", F.try_variant_get(v, "$", "double")))
-    texts = F.transform(array, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
-    total = F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v)
-    return F.when(array.isNull(), as_column(x)).when(F.size(array) == 0, "").when(total.isNotNull(), fmt_num(total)).otherwise(F.array_join(texts, ""))
+    def added(array: Column) -> Column:
+        number = lambda v: F.when(F.schema_of_variant(v) != "STRING", F.try_variant_get(v, "$", "double"))
+        total = F.aggregate(array, F.lit(0.0), lambda s, v: s + number(v))
+        texts = F.transform(array, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+        return F.when(F.size(array) == 0, "").otherwise(once(total, lambda t: F.when(t.isNotNull(), fmt_num(t)).otherwise(F.array_join(texts, ""))))
+
+    array = lambda v: F.try_variant_get(parsed(v), "$", "array<variant>")
+    return once(x, lambda v: once(array(v), lambda a: F.when(a.isNull(), v).otherwise(added(a))))
 
 
 def leaves(x: Column | str) -> Column:

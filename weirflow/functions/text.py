@@ -12,6 +12,11 @@ def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column | str, use) -> Column:
+    """``use`` of a value that is computed one time, however often ``use`` names it: edits of edits stay small plans."""
+    return F.get(F.transform(F.array(as_column(x)), use), F.lit(0))
+
+
 def utrim(x: Column | str) -> Column:
     """Trim all Unicode white space; ``trim`` takes blanks only."""
     return F.regexp_replace(as_column(x), r"(?U)^\s+|\s+$", "")
@@ -103,28 +108,40 @@ def fmt_num(x: Column | str) -> Column:
     """A double as text: its shortest digits, in full unless they would need more than 15 zeros or three leading ones.
 
     ``1e+16``, ``15000000000000000``, ``0.0001``, ``1e-05``; infinities are the largest doubles, NaN is ``null``, -0 is 0.
-    The digits are the JVM's, which for a few doubles (the smallest among them) are one more than needed.
+    The digits are the JVM's, which for a few doubles (the smallest among them) are one more than needed. Most numbers are
+    written as the JVM writes them; only others have their digits and exponent taken apart.
     """
     x = as_column(x)
-    shown = F.abs(x).cast("string")
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(shown, r"^([0-9.]+)", 1), r"\.", ""), "^0+", "")
+    size = F.abs(x)
+    return (
+        F.when(F.isnan(x), "null")
+        .when((size < 1e15) & (x == F.floor(x)), x.cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
+        .when(size == float("inf"), F.when(x < 0, "-1.7976931348623157e+308").otherwise("1.7976931348623157e+308"))
+        .when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), once(size.cast("string"), _digits_moved)))
+    )
+
+
+def _digits_moved(shown: Column) -> Column:
+    """A positive double's text, as the JVM writes it, in the form of ``fmt_num``."""
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(shown, r"^([0-9.]+)", 1), r"\.", ""), "^0+", ""), "0+$", "")
     zeros = F.length(F.regexp_extract(shown, r"^0\.(0*)", 1))
     whole = F.length(F.regexp_extract(shown, r"^([0-9]+)", 1))
     power = F.coalesce(F.regexp_extract(shown, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
     point = F.when(shown.startswith("0."), -zeros).otherwise(whole) + power  # 0.d1d2... times ten to this
-    digits = F.regexp_replace(digits, "0+$", "")
-    n = F.length(digits)
-    exponent = point - 1
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise("")
-    scientific = F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.lit(400))))
-    )
-    text = F.when((point <= -4) | (point > n + 15), scientific).otherwise(plain)
-    text = F.when(F.isnan(x), "null").when(x == 0, "0").when(F.abs(x) == float("inf"), "1.7976931348623157e+308").otherwise(text)
-    return F.when(x.isNull(), F.lit(None)).otherwise(F.concat(F.when((x < 0) & ~F.isnan(x), "-").otherwise(""), text))
+
+    def text(digits: Column, point: Column) -> Column:
+        n, exponent = F.length(digits), point - 1
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise("")
+        scientific = F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.lit(400))))
+        )
+        return F.when((point <= -4) | (point > n + 15), scientific).otherwise(plain)
+
+    return once(digits, lambda d: once(point, lambda p: text(d, p)))
 
 
 def human_bytes(x: Column | str) -> Column:
