@@ -331,3 +331,10 @@ def test_json_sums_are_computed_once(spark):
     assert evaluations(spark, [J.array_add("v")], "parseJson") == 1
     assert evaluations(spark, [T.fmt_num(F.col("v").cast("double"))], "regexp_extract") <= 8
     assert values(spark, ["[1e400,1]", "[-0.5,0.5]", "[12345678.5]", "[1e15,1]", "[1e-5]", "[null,1]", " [3] x", "[true,2]"], J.array_add("v")) == ["1.7976931348623157e+308", "0", "12345678.5", "1000000000000001", "1e-05", "1", "3", "3"]
+
+
+def test_mapped_values_are_parsed_once(spark):
+    from weirflow.functions import values as V
+
+    assert evaluations(spark, [V.mapped("v", lambda e: e)], "parseJson") <= 4
+    assert values(spark, ["[1,null,\"a\"]", '{"b":2,"a":[1]}', "[]", "x", "3", None], V.mapped("v", lambda e: V.times(e, F.lit("2")))) == ['[2,"aa"]', "[4]", "[]", None, None, None]

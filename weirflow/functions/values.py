@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirflow.functions.json import elements, keys, object_of, once, parsed, quoted
+from weirflow.functions.json import elements, first_char, keys, object_of, once, parsed, quoted
 from weirflow.functions.json import as_map as map_of
 from weirflow.functions.text import as_column, fmt_num
 
@@ -21,38 +21,44 @@ KINDS = ("null", "boolean", "number", "string", "array", "object")
 
 def kind(x: Column | str) -> Column:
     """The name of a value's type; null for a null column."""
-    shape = F.schema_of_variant(parsed(x))
-    named = F.when(shape == "VOID", "null").when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").when(shape == "STRING", "string")
-    return F.when(as_column(x).isNull(), F.lit(None)).otherwise(named.when(shape.isNotNull(), "number").otherwise("string"))
+    return once(x, lambda v: _kind(v, parsed(v).isNotNull()))
+
+
+def _kind(x: Column, is_json: Column) -> Column:
+    named = lambda c: F.when(c == "n", "null").when(c.isin("t", "f"), "boolean").when(c == "[", "array").when(c == "{", "object").when(c == '"', "string").otherwise("number")
+    return F.when(x.isNull(), F.lit(None)).when(is_json, once(first_char(x), named)).otherwise("string")
 
 
 def number(x: Column | str) -> Column:
-    return F.when(kind(x) == "number", F.try_variant_get(parsed(x), "$", "double"))
+    return _typed(x)["number"]
 
 
 def text(x: Column | str) -> Column:
     """A string's characters, without its quotes."""
-    return F.when(kind(x) == "string", F.coalesce(F.try_variant_get(parsed(x), "$", "string"), as_column(x)))
+    return _typed(x)["text"]
 
 
 def truthy(x: Column | str) -> Column:
     """All but null and false; a null column is false."""
-    x = as_column(x)
-    return F.coalesce((kind(x) != "null") & ~((kind(x) == "boolean") & (F.trim(x) == "false")), F.lit(False))
+    true = lambda v, k: (k != "null") & ~((k == "boolean") & (F.trim(v) == "false"))
+    return F.coalesce(once(x, lambda v: once(kind(v), lambda k: true(v, k))), F.lit(False))
 
 
 def _scalar(x: Column | str) -> Column:
-    rank = F.when(kind(x) == "null", 0).when(kind(x) == "boolean", F.when(F.trim(as_column(x)) == "true", 2).otherwise(1)).when(kind(x) == "number", 3).when(kind(x) == "string", 4).when(kind(x) == "array", 5).otherwise(6)
-    rest = F.when(kind(x).isin("array", "object"), as_column(x))
-    return F.struct(rank.alias("rank"), number(x).alias("number"), text(x).alias("text"), rest.alias("rest"))
+    def parts(t: Column) -> Column:
+        k, raw = t["kind"], t["raw"]
+        rank = F.when(k == "null", 0).when(k == "boolean", F.when(F.trim(raw) == "true", 2).otherwise(1)).when(k == "number", 3).when(k == "string", 4).when(k == "array", 5).otherwise(6)
+        return F.struct(rank.alias("rank"), t["number"].alias("number"), t["text"].alias("text"), F.when(k.isin("array", "object"), raw).alias("rest"))
+
+    return once(_typed(x), parts)
 
 
 def order_key(x: Column | str) -> Column:
     """A key that sorts and compares as the values do: arrays by their elements, objects by their keys, then by their values; what is nested deeper by its text."""
     def key(v: Column) -> Column:
         parts = F.when(kind(v).isin("array", "object"), F.transform(elements(v), _scalar))
-        own = _scalar(v)
-        return F.when(v.isNotNull(), F.struct(own["rank"].alias("rank"), own["number"].alias("number"), own["text"].alias("text"), keys(v).alias("keys"), parts.alias("parts")))
+        whole = lambda own: F.struct(own["rank"].alias("rank"), own["number"].alias("number"), own["text"].alias("text"), keys(v).alias("keys"), parts.alias("parts"))
+        return F.when(v.isNotNull(), once(_scalar(v), whole))
 
     return once(x, key)
 
@@ -153,4 +159,5 @@ def to_entries(x: Column | str) -> Column:
 
 def mapped(x: Column | str, change) -> Column:
     """An array with each element (an object: each value) changed by a function of JSON text; elements without a result go."""
-    return F.when(kind(x).isin("array", "object"), _of_array(F.filter(F.transform(elements(x), change), lambda e: e.isNotNull())))
+    changed = lambda v: _of_array(F.filter(F.transform(elements(v), change), lambda e: e.isNotNull()))
+    return once(x, lambda v: once(kind(v), lambda k: F.when(k.isin("array", "object"), changed(v))))
