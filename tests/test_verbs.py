@@ -333,6 +333,13 @@ def test_json_sums_are_computed_once(spark):
     assert values(spark, ["[1e400,1]", "[-0.5,0.5]", "[12345678.5]", "[1e15,1]", "[1e-5]", "[null,1]", " [3] x", "[true,2]"], J.array_add("v")) == ["1.7976931348623157e+308", "0", "12345678.5", "1000000000000001", "1e-05", "1", "3", "3"]
 
 
+def test_types_of_values_are_found_once(spark):
+    from weirflow.functions import values as V
+
+    assert evaluations(spark, [V.plus("v", F.lit("1"))], "schemaOfVariant") == 0 and evaluations(spark, [V.failed(V.plus("v", F.lit("1")), "v")], "parseJson") <= 12
+    assert values(spark, ["1", " [1]", "\n{}", "null x", "nullx", "\ttrue", '"a" b', " 1", "﻿1", "-0", "", None], V.kind("v")) == ["number", "array", "object", "null", "string", "boolean", "string", "string", "string", "number", "string", None]
+
+
 def test_mapped_values_are_parsed_once(spark):
     from weirflow.functions import values as V
 

@@ -65,11 +65,11 @@ def order_key(x: Column | str) -> Column:
 
 def _typed(x: Column | str) -> Column:
     """Type, number, characters and text of a value."""
-    def parts(v: Column, k: Column) -> Column:
-        own = F.when(k == "string", F.coalesce(F.try_variant_get(parsed(v), "$", "string"), v))
-        return F.struct(k.alias("kind"), F.when(k == "number", F.try_variant_get(parsed(v), "$", "double")).alias("number"), own.alias("text"), v.alias("raw"))
+    def parts(v: Column, p: Column, k: Column) -> Column:
+        own = F.when(k == "string", F.coalesce(F.try_variant_get(p, "$", "string"), v))
+        return F.struct(k.alias("kind"), F.when(k == "number", F.try_variant_get(p, "$", "double")).alias("number"), own.alias("text"), v.alias("raw"))
 
-    return once(x, lambda v: once(kind(v), lambda k: parts(v, k)))
+    return once(x, lambda v: once(parsed(v), lambda p: once(_kind(v, p.isNotNull()), lambda k: parts(v, p, k))))
 
 
 def _bound(operation):
