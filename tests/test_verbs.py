@@ -345,3 +345,9 @@ def test_mapped_values_are_parsed_once(spark):
 
     assert evaluations(spark, [V.mapped("v", lambda e: e)], "parseJson") <= 4
     assert values(spark, ["[1,null,\"a\"]", '{"b":2,"a":[1]}', "[]", "x", "3", None], V.mapped("v", lambda e: V.times(e, F.lit("2")))) == ['[2,"aa"]', "[4]", "[]", None, None, None]
+
+
+def test_sort_keys_are_computed_once(spark):
+    from weirflow.operators import records as RV
+
+    assert evaluations(spark, RV.sort_keys("v", "k"), "parseJson") <= 6

@@ -45,9 +45,13 @@ def change_number(df: DataFrame, value: str, change) -> DataFrame:
 
 def sort_keys(value: str, key: str) -> list[Column]:
     """Objects with a number by the key first, then those with other values by their text, then those without; lines that are no object last."""
-    found = J.at(value, key)
-    group = F.when(~J.is_object(value) | F.col(value).isNull(), 3).when(num(found).isNotNull(), 0).when(found.isNotNull(), 1).otherwise(2)
-    return [group, num(found), F.when(group == 1, found)]
+    def keys_of(line: Column) -> Column:
+        group = lambda f, x: F.when(~J.is_object(line) | line.isNull(), 3).when(x.isNotNull(), 0).when(f.isNotNull(), 1).otherwise(2)
+        named = lambda f, x, g: F.struct(g.alias("group"), x.alias("number"), F.when(g == 1, f).alias("text"))
+        return J.once(J.at(line, key), lambda f: J.once(num(f), lambda x: J.once(group(f, x), lambda g: named(f, x, g))))
+
+    all_keys = J.once(value, keys_of)
+    return [all_keys[name] for name in ("group", "number", "text")]
 
 
 def sort_by(df: DataFrame, value: str, key: str, order: list[str]) -> DataFrame:
