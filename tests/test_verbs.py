@@ -351,3 +351,40 @@ def test_sort_keys_are_computed_once(spark):
     from weirflow.operators import records as RV
 
     assert evaluations(spark, RV.sort_keys("v", "k"), "parseJson") <= 6
+
+
+def test_html_trees_are_released_page_by_page(spark, monkeypatch):
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    calls, trees, alive = [], [], []
+    feed = html._Tree.feed
+
+    def watched(self, page):
+        alive.append(sum(r() is not None for r in trees))
+        feed(self, page)
+        trees.extend(weakref.ref(n) for n in self.nodes)
+
+    class Frame:
+        schema = {"i": type("F", (), {"dataType": type("T", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            calls.append(run)
+
+    html.select(Frame(), "i", "h", "p", own=True)
+    monkeypatch.setattr(html._Tree, "feed", watched)
+    pages = [f"<div><p>{i}<b>x</b></p><p>{'y' * 1000}</p></div>" for i in range(3000)]
+    gc.disable()
+    try:
+        out = list(calls[0](iter([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(pages)], ["i", "h"])])))
+    finally:
+        gc.enable()
+    assert max(alive) <= 4  # a page's nodes are gone when the next is read
+    assert len(out) == 4 and max(b.nbytes for b in out) < 2 * html.HELD
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [r for i in range(3000) for r in ((i, 0, str(i)), (i, 1, "y" * 1000))]
