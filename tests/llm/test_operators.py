@@ -792,3 +792,42 @@ def test_components(spark):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     assert found == {x: root(x) for x in list(parent)}
+
+
+def test_stars_take_one_step(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, to=components.materialize: (written.append(name), to(df, name))[1])
+    found = components.connected_components(spark.createDataFrame([(k % 7, 10 + k) for k in range(300)], "a bigint, b bigint"))
+    assert {tuple(x) for x in found.collect()} == {(10 + k, k % 7) for k in range(300)} | {(k, k) for k in range(7)}
+    assert written.count("edges") == 2
+
+
+def test_nothing_is_broadcast_without_hot_keys(spark):
+    left = spark.createDataFrame([(k % 5 if k % 9 else None, k) for k in range(3000)], "key int, x int")
+    right = left.dropna().filter("key > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = spark.createDataFrame([(7, -k) for k in range(1, 1501)], "key int, x int")
+    for how in ("inner", "left"):
+        even = common.join_weighted(left, right, "key", "n", how)
+        uneven = common.join_weighted(left.unionByName(hot), right.unionByName(spark.createDataFrame([(7, 1500)], "key int, n bigint")), "key", "n", how)
+        assert "broadcast" not in even._jdf.queryExecution().analyzed().toString().lower()
+        assert "broadcast" in uneven._jdf.queryExecution().analyzed().toString().lower()
+        assert sorted(map(str, even.collect())) == sorted(map(str, left.join(right, "key", how).collect()))
+        assert sorted(map(str, uneven.filter("x >= 0").collect())) == sorted(map(str, even.collect()))
+        assert sorted(tuple(r) for r in uneven.filter("x < 0").collect()) == sorted((7, -k, 1500) for k in range(1, 1501))
+
+
+def test_small_corpora_send_little_to_the_driver(spark, monkeypatch):
+    sent = []
+
+    def kept(df, name, to=ngram_join.materialize):
+        out = to(df, name)
+        if "bits" in out.columns and name in ("token-classes", "entries"):
+            sent.append(out.agg(F.sum(F.length("bits"))).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    monkeypatch.setattr(quality, "materialize", kept)
+    docs = documents(spark, [words_of(50, k) for k in range(40)])
+    ngram_join.join_documents(docs.select("doc_id", "text")).collect()
+    quality.keep_good(docs, spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")).collect()
+    assert len(sent) == 2 and max(sent) < 1_000_000

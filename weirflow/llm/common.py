@@ -23,15 +23,19 @@ def join_weighted(left: DataFrame, right: DataFrame, key: str, weight: str, how:
     """Join ``left`` to ``right``, which has one row per ``key`` and in ``weight`` the number of left rows with that key.
 
     Keys with more than ``HOT_SHARE`` of the rows, fewer than 1000 whatever the size of the input, are broadcast, so
-    that their rows stay where they are; the rest goes by sort-merge join. A null key matches nothing.
+    that their rows stay where they are; the rest goes by sort-merge join. Without hot keys nothing is broadcast: each
+    broadcast, even of no rows, takes pages and a thread of the driver. A null key matches nothing.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    least = max(1000, int(total * HOT_SHARE))
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    least = max(1000, int((total or 0) * HOT_SHARE))
+    cold = right.filter(F.col(weight) <= least).hint("merge")
+    if (most or 0) <= least:
+        return left.join(cold, key, how)
     hot = right.filter(F.col(weight) > least)
     is_hot = F.col("_hot").isNotNull()
     marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
     near = marked.filter(is_hot).drop("_hot").join(F.broadcast(hot), key)
-    far = marked.filter(~is_hot | is_hot.isNull()).drop("_hot").join(right.filter(F.col(weight) <= least).hint("merge"), key, how)
+    far = marked.filter(~is_hot | is_hot.isNull()).drop("_hot").join(cold, key, how)
     return near.unionByName(far)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import join_weighted, materialize
@@ -14,10 +14,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each node's neighbours only meet the smallest of them (an aggregate
     with partial sums and a join in which the nodes with most neighbours are broadcast), so no neighbourhood is
     gathered. Every step is written to the shared folder. Loops and repeated edges are allowed; nulls are left out. It
-    ends when a step changes nothing, after about as many steps as the logarithm of the longest path.
+    ends when a step changes nothing, after about as many steps as the logarithm of the longest path; the first for
+    stars around their smallest nodes.
     """
     edges = materialize(edges.select("a", "b").dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
+
+    def state() -> Row:
+        return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+    before = state()
+    if not before["n"]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def with_least(rows: DataFrame) -> DataFrame:
@@ -25,7 +31,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
         return join_weighted(rows, materialize(least, "stars"), "a", "degree")
 
-    before = None
     while True:
         # large star: the larger neighbours of a node, all linked to its smallest
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,8 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         own = joined.select("a", F.col("m").alias("b"))
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
         edges = materialize(small, "edges")
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
+        after = state()
+        if after == before:
             break
-        before = state
+        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

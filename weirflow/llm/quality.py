@@ -28,6 +28,7 @@ with contradictory labels are not trusted; repeated rows get equal verdicts; fur
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -353,7 +354,7 @@ def bloom_places(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarra
 
 
 def entries(bigrams: DataFrame, words: DataFrame, vocabulary: Broadcast, model: Broadcast, hot: int) -> DataFrame:
-    """(shard, data, bits): what each bigram that is not hot and each rare word adds, and the shard's Bloom filter."""
+    """(shard, data, bits): what each bigram that is not hot and each rare word adds, and the shard's Bloom filter, packed."""
     shards = model.value.shards
 
     def rows(hashes: np.ndarray, adds: np.ndarray) -> pa.RecordBatch:
@@ -386,7 +387,7 @@ def entries(bigrams: DataFrame, words: DataFrame, vocabulary: Broadcast, model:
         bits = np.zeros(width, bool)
         for place in bloom_places(hashes, shards):
             bits[place - key[0].as_py() * width] = True
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": [packed(hashes, adds)], "bits": [np.packbits(bits).tobytes()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": [packed(hashes, adds)], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
     rare = words.filter(F.col("c") < vocabulary.value.least).select("lang", "word", "c")
     both = bigrams.mapInArrow(of_bigrams, "shard int, data binary").unionByName(rare.mapInArrow(of_words, "shard int, data binary"))
@@ -410,7 +411,7 @@ def complete(model: Model, bigrams: DataFrame, found: DataFrame, hot: int) -> Mo
     width = BLOOM_BITS // model.shards // 8
     model.bloom = np.zeros(width * model.shards, np.uint8)
     for r in found.select("shard", "bits").toLocalIterator():
-        model.bloom[r["shard"] * width : (r["shard"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+        model.bloom[r["shard"] * width : (r["shard"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return model
 
 
