@@ -762,6 +762,54 @@ def test_jaccard_join_edges(spark):
     assert ngram_join.join_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("table", [(1 << 26, 64), (64, 8)])
+def test_a_full_token_table_keeps_the_index_small(spark, monkeypatch, table):
+    """As with 10^9 tokens: none is known to be in one document only. Long texts have a passage in common."""
+    rows = {}
+
+    def kept(df, name, to=ngram_join.materialize):
+        out = to(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "token_classes", lambda table, shards: np.full(ngram_join.CELLS // 4, 0x55, np.uint8))
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    for name, value in zip(("MARKS", "MARK_PARTS"), table, strict=True):  # the second makes most documents look like copies
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    passage = words_of(60, 7, 5000)
+    texts = [f"{words_of(1300 + 7 * k, 2000 + k, 5000)} {passage}" for k in range(40)]
+    texts += [edited(texts[k], random.Random(k), 20) for k in range(3)] + texts[:2]
+    sets, expected = brute_components(texts, 4, Fraction(85, 100))
+    found = ngram_join.join_documents(documents(spark, texts), 4, Fraction(85, 100)).collect()
+    assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in found} == {(k, len(sets[k]), expected[k]) for k in sets}
+    assert rows["canopies"] == 6 and max(rows.values()) < 4 * len(texts)
+
+
+def test_bitmaps_of_two_widths():
+    r = np.random.default_rng(3)
+    join = ngram_join.may_link(Fraction(4, 5))
+    for size in (40, 500, 1020, 4000):
+        tokens = common.mix64(r.integers(1, 1 << 60, 2 * size, dtype=np.uint64))
+        base = tokens[:size]
+        near, far = np.append(base[: size - size // 20], tokens[size : size + size // 12]), np.append(base[: size // 2], tokens[size : size + size // 2])
+        rows = [(k, len(x), ngram_join.bitmap(x), [1, 2] if k < 3 else [3]) for k, x in enumerate((base, near, far, base))]
+        assert set(join(rows)) == {(0, 1)}
+    assert len(ngram_join.bitmap(tokens[:1024])) < len(ngram_join.bitmap(tokens[:1025]))
+
+
+def test_shared_lists(spark):
+    """Documents of each key that several have, cut at sizes too far apart; equal lists once; ids of any sign and size."""
+    ids = np.array([-(1 << 62), 5, 1 << 62, 7, 9], np.int64)
+    sizes = np.array([100, 81, 66, 50, 1], np.int64)
+    keys = [{1, 2, 3, 1 << 47}, {1, 2, 3, 4}, {1, 2, 3}, {1, 2, 5}, {1 << 47, 6}]
+    pairs = [(i, k) for i, own in enumerate(keys) for k in own]
+    at, key = np.array([i for i, _ in pairs]), np.array([k for _, k in pairs], np.uint64)
+    batch = ngram_join.key_rows(ids[at], sizes[at], key, 16)
+    rows = spark.createDataFrame([tuple(r.values()) for r in batch.to_pylist()], ngram_join.INDEX)
+    found = ngram_join.shared_lists(rows, Fraction(4, 5)).collect()
+    assert [(x["uses"], x["first"], sorted(x["docs"])) for x in found] == [(3, -(1 << 62), [-(1 << 62), 5, 1 << 62])]
+
+
 def test_word_hashes_follow_words():
     r = random.Random(8)
     for _ in range(300):

@@ -6,7 +6,7 @@ A document is its set of word n-grams ("tokens", as 64-bit hashes). Two link whe
 2. Tokens are classed by the number of documents that have them. All tokens are counted, as 32-bit fingerprints in
    packed shards; what is counted more than once goes into a table of fixed size (``CELLS`` cells of two bits).
    Class 0 are tokens that one document has, 1 to 3 ever more frequent ones. A cell that two tokens share only makes
-   a token seem more frequent than it is.
+   a token seem more frequent than it is; from some 10^9 tokens on most cells are taken, and nearly none is of class 0.
 3. Tokens are put in order by class and hash. Linked sets of at least n tokens share at least m <= ceil(t n) tokens in
    their prefixes of length |A| - ceil(t |A|) + m. Frequent tokens are dealt by hash over G groups; with
    m = (k - 1) G + 1 the shared tokens are one that is not frequent, or k frequent ones of one group. So single tokens
@@ -15,13 +15,19 @@ A document is its set of word n-grams ("tokens", as 64-bit hashes). Two link whe
    token of a prefix at every size. Linked sets must agree on k and G: these go by levels of size, each ``LEVEL``
    times the one before, and a set takes part in its level and in that of the smallest set it may link with.
    Tokens of class 0 link nothing and are not indexed.
-4. Sets with a key in common are compared by size and by parity bitmaps (each token flips one of ``BITS`` bits), which
-   bound the size of their difference from below, so no link is lost. A group of sets with one key, cut in blocks of
-   ``BLOCK_SETS`` where it is large, yields a forest of the pairs that may link, never all pairs; the components of
-   these forests are the canopies.
+   The keys go to shards as packed bytes, some four for a key and four for its document and size. A shard gives on only
+   what is shared, as lists of documents, cut where sizes are too far apart, and the same list once. So it doesn't
+   matter how many keys have one document, which is most of them where the table is full. Documents that may be copies
+   wait until it is known which are.
+4. Sets in one list are compared by size and by parity bitmaps (each token flips one of as many bits as there are
+   tokens, at least, and ``BITS``), which bound the size of their difference from below, so no link is lost. Lists
+   with one smallest id are compared in one task, to which a bitmap goes once. A list, cut in blocks of ``BLOCK_SETS``
+   where it is large, yields a forest of the pairs that may link, never all pairs; the components of these forests are
+   the canopies.
 5. A canopy is cut in blocks of ``BLOCK_TOKENS`` tokens, and each pair of blocks is one group that counts overlaps by an
    inverted list and yields a forest of the links it finds. Components of these links are the result. Any two sets that
-   link are in one canopy and in one pair of its blocks. Only texts that have keys are shuffled.
+   link are in one canopy and in one pair of its blocks. Only texts of sets in canopies are shuffled, and those few whose
+   ids look like theirs to a table of ``MARKS`` bits.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing, not even with each other;
 texts with fewer than n words have one token, all their words; repeated rows are copies; null ids are not linked; an
@@ -38,7 +44,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import join_weighted, materialize, mix64, read_table, shingle_set
@@ -53,6 +59,9 @@ BITS = 512
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 400_000
 FLUSH = 1_000_000
+#: Bits of an index key that count: what two keys share by chance is compared in vain. Bits of a table of ids, and its parts.
+KEY_BITS = 48
+MARKS, MARK_PARTS = 1 << 26, 64
 
 
 # ---------------------------------------------------------------- counting of tokens
@@ -245,28 +254,192 @@ def index_keys(sets: list[np.ndarray], classes: np.ndarray, levels: Levels) -> t
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Each token flips a bit: two sets' bitmaps differ in no more bits than the sets in tokens."""
-    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Each token flips a bit: two sets' bitmaps differ in no more bits than the sets in tokens.
+
+    The bits are a power of two, BITS or the number of tokens at least; of fewer bits, halves are flipped together.
+    """
+    bits = max(BITS, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def index(docs: DataFrame, words: int, classes: Broadcast, threshold: Fraction) -> DataFrame:
-    """(doc_id, text, n, bits, keys) of the documents that have keys."""
+# ---------------------------------------------------------------- tables of ids
+
+
+def mark_of() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """MARKS bits, with those set that ``mark_of`` gives for the ids (doc_id); sent to the driver packed."""
+    width = MARKS // MARK_PARTS
+
+    def mark(key: tuple, group: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        bits[group["mark"].to_numpy() % width] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())})
+
+    found = np.zeros(MARKS // 8, np.uint8)
+    for r in ids.select(mark_of().alias("mark")).groupBy(F.expr(f"mark DIV {width}").alias("part")).applyInArrow(mark, "part bigint, bits binary").toLocalIterator():
+        found[r["part"] * width // 8 : (r["part"] + 1) * width // 8] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return found
+
+
+def marked(mark: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (table[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def texts_of(docs: DataFrame, table: Broadcast) -> DataFrame:
+    """(doc_id, text) of the documents marked in ``table``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["doc_id", "text"]).filter(pa.array(marked(batch["mark"].to_numpy(), table.value)))
+
+    return docs.select("doc_id", "text", mark_of().alias("mark")).mapInArrow(run, "doc_id bigint, text string")
+
+
+# ---------------------------------------------------------------- index
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values, byte by byte, the lowest of all first; as many as the largest value needs."""
+    most = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T[:most]).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((8, n), np.uint8)
+    planes[: len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+INDEX = "doc_id bigint, n bigint, bits binary, shard int, uses bigint, low bigint, gaps binary, least bigint, owners binary, sizes binary"
+
+
+def index_rows(columns: dict[str, list]) -> pa.RecordBatch:
+    kinds = {"binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64()}
+    size = len(next(iter(columns.values())))
+    names = [x.split(" ") for x in INDEX.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds[kind]) if x in columns else pa.nulls(size, kinds[kind]) for x, kind in names], [x for x, _ in names])
+
+
+def key_rows(docs: np.ndarray, sizes: np.ndarray, keys: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Keys with their documents and these's sizes, a row for each shard: a shard has the keys of a range."""
+    order = np.argsort(keys, kind="stable")
+    docs, sizes, keys = docs[order], sizes[order], keys[order]
+    ends = np.searchsorted(keys, np.arange(1, shards + 1, dtype=np.uint64) * np.uint64((1 << KEY_BITS) // shards))
+    rows: dict[str, list] = {x: [] for x in ("shard", "uses", "low", "gaps", "least", "owners", "sizes")}
+    start = 0
+    for s, end in enumerate(ends.tolist()):
+        if end > start:
+            part, own = keys[start:end], docs[start:end]
+            least = own.min()
+            values = (s, end - start, int(part[0]), packed(np.diff(part, prepend=part[0])), int(least), packed((own - least).view(np.uint64)), packed(sizes[start:end].view(np.uint64)))
+            for x, value in zip(rows, values, strict=True):
+                rows[x].append(value)
+        start = end
+    return index_rows(rows)
+
+
+def index(docs: DataFrame, words: int, classes: Broadcast, threshold: Fraction, copies: Broadcast, shards: int) -> DataFrame:
+    """Rows (doc_id, n, bits) of the documents that have keys, and rows of the keys as ``key_rows`` gives them.
+
+    Documents marked in ``copies`` have their keys in their own rows instead (uses, low, gaps).
+    """
     levels = Levels(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                sets = [shingle_set(text.as_py(), words) for text in part.column(1)]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingle_set(text.as_py(), words) for text in part["text"]]
                 owner, keys = index_keys(sets, classes.value, levels)
-                rows, count = np.unique(owner, return_counts=True)
-                kept = part.take(pa.array(rows))
-                columns = [*kept.columns, pa.array([len(sets[k]) for k in rows], pa.int64()), pa.array([bitmap(sets[k]) for k in rows], pa.binary())]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "text", "n", "bits", "keys"])
+                if not len(owner):
+                    continue
+                keys = keys >> np.uint64(64 - KEY_BITS)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                ids, waits = part["doc_id"].to_numpy(), marked(part["mark"].to_numpy(), copies.value)
+                rows, first, uses = np.unique(owner, return_index=True, return_counts=True)
+                own = [keys[k : k + n] if waits[i] else None for i, k, n in zip(rows.tolist(), first.tolist(), uses.tolist(), strict=True)]
+                yield index_rows({
+                    "doc_id": ids[rows], "n": sizes[rows], "bits": [bitmap(sets[k]) for k in rows], "uses": uses,
+                    "low": [None if k is None else int(k[0]) for k in own], "gaps": [None if k is None else packed(np.diff(k, prepend=k[0])) for k in own],
+                })
+                now = ~waits[owner]
+                held.append((ids[owner[now]], sizes[owner[now]], keys[now]))
+                waiting += len(held[-1][0])
+                if waiting > FLUSH:
+                    yield key_rows(*map(np.concatenate, zip(*held, strict=True)), shards)
+                    held, waiting = [], 0
+        if waiting:
+            yield key_rows(*map(np.concatenate, zip(*held, strict=True)), shards)
+
+    return docs.select("doc_id", "text", mark_of().alias("mark")).mapInArrow(run, INDEX)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string, n bigint, bits binary, keys array<bigint>")
+
+def late_keys(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of the keys that documents have in their own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            for doc, size, n, low, gaps in zip(*(batch[x].to_pylist() for x in ("doc_id", "n", "uses", "low", "gaps")), strict=True):
+                held.append((np.full(n, doc, np.int64), np.full(n, size, np.int64), np.cumsum(unpacked(gaps, n), dtype=np.uint64) + np.uint64(low)))
+                waiting += n
+                if waiting > FLUSH:
+                    yield key_rows(*map(np.concatenate, zip(*held, strict=True)), shards)
+                    held, waiting = [], 0
+        if waiting:
+            yield key_rows(*map(np.concatenate, zip(*held, strict=True)), shards)
+
+    return rows.mapInArrow(run, INDEX)
+
+
+def shared_lists(keys: DataFrame, threshold: Fraction) -> DataFrame:
+    """(list, check, part, uses, first, docs): the documents of each key that several have, and the smallest.
+
+    They are cut where sizes are too far apart to link; equal lists come once, long ones in parts.
+    """
+    top, bottom = threshold.numerator, threshold.denominator
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        held: list[tuple[np.ndarray, ...]] = []
+        for n, low, gaps, least, owners, sizes in zip(*(group[x].to_pylist() for x in ("uses", "low", "gaps", "least", "owners", "sizes")), strict=True):
+            held.append((np.cumsum(unpacked(gaps, n), dtype=np.uint64) + np.uint64(low), unpacked(owners, n).view(np.int64) + np.int64(least), unpacked(sizes, n).view(np.int64)))
+        key, doc, size = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        order = order[np.append(False, same) | np.append(same, False)]
+        order = order[np.lexsort((doc[order], size[order], key[order]))]
+        key, doc, size = key[order], doc[order], size[order]
+        other = np.append(True, np.diff(key) != 0)[: len(key)]
+        new = other | np.append(True, np.diff(doc) != 0)[: len(key)]
+        key, doc, size, other = key[new], doc[new], size[new], other[new]
+        other[1:] |= size[:-1] * bottom < size[1:] * top
+        start = np.flatnonzero(other)
+        uses = np.diff(np.append(start, len(doc)))
+        doc, uses = doc[np.repeat(uses > 1, uses)], uses[uses > 1]
+        start = np.cumsum(uses) - uses
+        if not len(uses):
+            return pa.table([pa.array([], pa.int64())] * 5 + [pa.array([], pa.list_(pa.int64()))], names)
+        one, two = (np.add.reduceat(mix64(doc.view(np.uint64) ^ np.uint64(x)), start) for x in (0, 0xA5A5A5A5A5A5A5A5))
+        first = np.minimum.reduceat(doc, start)
+        order = np.lexsort((two, one))
+        once = np.zeros(len(uses), bool)
+        once[order[np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))]] = True
+        doc, one, two, first, uses = doc[np.repeat(once, uses)], one[once], two[once], first[once], uses[once]
+        parts = -(-uses // BLOCK_SETS)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(np.cumsum(uses) - uses, parts) + part * BLOCK_SETS
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)), pa.int32()), pa.array(doc))
+        return pa.table([*(np.repeat(x, parts) for x in (one.view(np.int64), two.view(np.int64))), part, *(np.repeat(x, parts) for x in (uses, first)), lists], names)
+
+    names = ["list", "check", "part", "uses", "first", "docs"]
+    kind = "list bigint, check bigint, part bigint, uses bigint, first bigint, docs array<bigint>"
+    return keys.groupBy("shard").applyInArrow(run, kind).dropDuplicates(["list", "check", "part"])
 
 
 # ---------------------------------------------------------------- blocks
@@ -329,19 +502,37 @@ def spread(docs: list[int], near: Callable[[int, np.ndarray], np.ndarray]) -> li
 
 
 def may_link(threshold: Fraction) -> Callable[[list[tuple]], list[tuple[int, int]]]:
-    """For rows (doc_id, n, bits): a forest of the pairs whose sizes and bitmaps allow a link."""
+    """For rows (doc_id, n, bits, lists): a forest of the pairs of each list whose sizes and bitmaps allow a link."""
     t, apart = float(threshold), float((1 - threshold) / (1 + threshold))
 
     def join(rows: list[tuple]) -> list[tuple[int, int]]:
         n = np.array([r[1] for r in rows], float)
-        bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
+        width = np.array([len(r[2]) for r in rows])
+        bits, place = {}, {}
+        for w in np.unique(width).tolist():  # bitmaps of so many bytes, wider ones folded
+            wide = np.flatnonzero(width >= w)
+            place[w] = np.zeros(len(rows), np.int64)
+            place[w][wide] = np.arange(len(wide))
+            bits[w] = np.stack([np.bitwise_xor.reduce(np.frombuffer(rows[k][2], np.uint64).reshape(-1, w // 8)) for k in wide])
 
         def near(i: int, rest: np.ndarray) -> np.ndarray:
             sized = rest[(np.minimum(n[rest], n[i]) >= t * np.maximum(n[rest], n[i]) - 1e-6)]
-            differ = np.bitwise_count(bits[sized] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            return sized[differ <= apart * (n[sized] + n[i]) + 1e-6]
-
-        return spread([r[0] for r in rows], near)
+            least, found = np.minimum(width[sized], width[i]), []
+            for w in np.unique(least).tolist():
+                own = sized[least == w]
+                differ = np.bitwise_count(bits[w][place[w][own]] ^ bits[w][place[w][i]]).sum(axis=1, dtype=np.int64)
+                found.append(own[differ <= apart * (n[own] + n[i]) + 1e-6])
+            return np.concatenate([rest[:0], *found])
+
+        members: dict[int, list[int]] = {}
+        for k, r in enumerate(rows):
+            for name in r[3]:
+                members.setdefault(name, []).append(k)
+        found: set[tuple[int, int]] = set()
+        for some in members.values():
+            own = np.array(some)
+            found.update((rows[own[a]][0], rows[own[b]][0]) for a, b in spread(list(range(len(own))), lambda i, rest, own=own: np.flatnonzero(np.isin(own, near(own[i], own[rest])))))
+        return list(found)
 
     return join
 
@@ -371,22 +562,27 @@ def links(words: int, threshold: Fraction) -> Callable[[list[tuple]], list[tuple
     return join
 
 
-def canopies(keyed: DataFrame, threshold: Fraction) -> DataFrame:
+def canopies(lists: DataFrame, indexed: DataFrame, threshold: Fraction) -> DataFrame:
     """(doc_id, canopy) of the sets that share a key with one they may link with."""
-    each = materialize(keyed.select("doc_id", F.explode("keys").alias("key")), "index")
-    shared = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "shared-keys")
-    rows = join_weighted(each, shared, "key", "uses").join(keyed.select("doc_id", "n", "bits"), "doc_id")
-    tasks = paired_blocks(rows, "key", F.ceil(F.col("uses") / BLOCK_SETS).cast("int"))
-    return connected_components(forests(tasks, ["n", "bits"], may_link(threshold))).withColumnsRenamed({"node": "doc_id", "component": "canopy"})
+    bins = F.ceil(F.sum("uses").over(Window.partitionBy("first")) / (4 * BLOCK_SETS))
+    short = lists.filter(F.col("uses") <= BLOCK_SETS).withColumn("task", F.xxhash64("first", F.pmod("list", bins)))
+    short = short.select("task", "list", F.explode("docs").alias("doc_id")).groupBy("task", "doc_id").agg(F.collect_list("list").alias("lists"))
+    long = lists.filter(F.col("uses") > BLOCK_SETS).select("list", "uses", F.explode("docs").alias("doc_id"))
+    long = paired_blocks(long, "list", F.ceil(F.col("uses") / BLOCK_SETS).cast("int")).select("task", "doc_id", F.array(F.lit(0).cast("bigint")).alias("lists"))
+    tasks = short.unionByName(long).join(indexed.select("doc_id", "n", "bits"), "doc_id")
+    return connected_components(forests(tasks, ["n", "bits", "lists"], may_link(threshold))).withColumnsRenamed({"node": "doc_id", "component": "canopy"})
 
 
-def verified_links(placed: DataFrame, keyed: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+def verified_links(placed: DataFrame, indexed: DataFrame, docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """(a, b): a forest of the links within canopies."""
-    placed = materialize(placed.join(keyed.select("doc_id", "n"), "doc_id"), "canopies")
+    placed = materialize(placed.join(indexed.select("doc_id", "n"), "doc_id"), "canopies")
     blocks = placed.groupBy("canopy").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     members = join_weighted(placed, materialize(blocks, "blocks"), "canopy", "members")
-    tasks = paired_blocks(members, "canopy", F.col("blocks")).select("task", "doc_id").join(keyed.select("doc_id", "text"), "doc_id")
-    return materialize(forests(tasks, ["text"], links(words, threshold)), "links")
+    sent = docs.sparkSession.sparkContext.broadcast(marks(placed))
+    tasks = paired_blocks(members, "canopy", F.col("blocks")).select("task", "doc_id").join(texts_of(docs, sent), "doc_id")
+    found = materialize(forests(tasks, ["text"], links(words, threshold)), "links")
+    sent.destroy()
+    return found
 
 
 def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -400,11 +596,17 @@ def join_documents(docs: DataFrame, words: int = 5, threshold: Fraction = Fracti
     key = F.concat_ws(":", "set_hash", "set_check", "n")
     rows = rows.withColumn("set", F.when(F.col("n") > 0, key))
     sets = materialize(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "sets")
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
-    keyed = index(docs, words, sent, threshold).join(sets.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    keyed = materialize(keyed, "keyed")
-    sent.destroy()
-    found = verified_links(canopies(keyed, threshold), keyed, words, threshold)
+    several = sets.filter("copies > 1").select("set", "first", "copies")
+    copies = materialize(join_weighted(rows.filter("n > 0 AND doc_id IS NOT NULL"), several, "set", "copies").filter("doc_id <> first").select("doc_id"), "copies")
+    known = docs.select(F.col("doc_id").cast("bigint"), "text").filter("doc_id IS NOT NULL")
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in (classes, marks(copies))]
+    keyed = materialize(index(known, words, sent[0], threshold, sent[1], shards), "index")
+    for x in sent:
+        x.destroy()
+    indexed = keyed.filter(F.col("shard").isNull())
+    late = late_keys(indexed.filter(F.col("gaps").isNotNull()).join(copies, "doc_id", "left_anti").select("doc_id", "n", "uses", "low", "gaps"), shards)
+    lists = materialize(shared_lists(keyed.filter(F.col("shard").isNotNull()).unionByName(late), threshold), "lists")
+    found = verified_links(canopies(lists, indexed, threshold), indexed, known, words, threshold)
     linked = connected_components(found).withColumnsRenamed({"node": "first", "component": "_component"})
     sets = sets.join(linked, "first", "left").select("set", "copies", F.coalesce("_component", "first").alias("component_id"))
     single = rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
