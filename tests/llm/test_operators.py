@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weirflow.llm import common, components, exact_dedup, language_id, licenses, line_dedup, media, ngram_join, packing, pii, quality, sentencepiece_codec, spans
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -785,6 +786,27 @@ def test_a_full_token_table_keeps_the_index_small(spark, monkeypatch, table):
     assert rows["canopies"] == 6 and max(rows.values()) < 4 * len(texts)
 
 
+def test_a_full_token_table_keeps_the_pipelines_stage_small(spark, monkeypatch):
+    sent = {}
+
+    def kept(df, name, to=ngram_join.materialize):
+        out = to(df, name)
+        sent[name] = out.count()
+        assert "text" not in out.columns
+        return out
+
+    monkeypatch.setattr(ngram_join, "token_classes", lambda table, shards: np.full(ngram_join.CELLS // 4, 0x55, np.uint8))
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    passage = words_of(60, 7, 5000)
+    texts = [f"{words_of(1300 + 7 * k, 3000 + k, 5000)} {passage}" for k in range(30)]
+    texts += [edited(texts[k], random.Random(k), 20) for k in range(3)]
+    _, expected = brute_components(texts, 5, Fraction(4, 5))
+    docs = documents(spark, texts)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    assert {x["doc_id"] for x in stage.collect()} == set(expected.values()) and stage.columns == docs.columns
+    assert sent["canopies"] == 6 and max(sent.values()) < 4 * len(texts)
+
+
 def test_bitmaps_of_two_widths():
     r = np.random.default_rng(3)
     join = ngram_join.may_link(Fraction(4, 5))
